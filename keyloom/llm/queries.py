@@ -6,17 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import lines
+from .bpe import encode_digests
+from .decontam import find_leaks
 from .minhash import near_duplicates
+from .quality import quality_scores
 from .tables import read
 
+#: The tokenizer file of op1 and of the pipeline, by its name among the public vocabularies.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where a public vocabulary lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token and decoding digests of all documents."""
+    return encode_digests(read(spark, sf_dir, "documents"), tokenizer_path())
+
 
 def op2_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in all documents."""
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-site boilerplate lines in all documents."""
+    return lines.line_report(read(spark, sf_dir, "documents"))
+
+
+def op10_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_transducer_bpe": op1_transducer_bpe,
     "op2_minmax_dedup": op2_minmax_dedup,
+    "op5_simhash_decontamination": op5_simhash_decontamination,
+    "op9_line_spread": op9_line_spread,
+    "op10_byte_quality": op10_byte_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_spread": lines.ORACLE,
+}
