@@ -51,9 +51,10 @@ class Words:
 
     __slots__ = ("buf", "starts", "ends", "first", "hashes")
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, hashes: bool = True) -> None:
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, hashes: bool = True, between: np.ndarray = _SPACE) -> None:
+        """``between``: of each byte, whether it separates words; ASCII white space by default."""
         n = len(buf)
-        solid = ~_SPACE[buf]
+        solid = ~between[buf]
         cut = np.zeros(n + 1, bool)  # between two bytes: a text begins
         cut[offsets] = cut[0] = cut[n] = True
         before, after = cut[:n].copy(), cut[1:].copy()

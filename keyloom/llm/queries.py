@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import lines
+from . import langid, lines
 from .bpe import encode_digests
 from .decontam import find_leaks
+from .labelled import fold
 from .minhash import near_duplicates
 from .quality import quality_scores
 from .tables import read
+from .toxicity import toxicity_scores
 
 #: The tokenizer file of op1 and of the pipeline, by its name among the public vocabularies.
 TOKENIZER = "word_bpe_49k.json"
@@ -34,11 +37,21 @@ def op2_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in all documents."""
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; fold 2 of 4 is held out."""
+    return langid.languages(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2)
+
+
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines in all documents."""
     return lines.line_report(read(spark, sf_dir, "documents"))
@@ -52,7 +65,9 @@ def op10_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transducer_bpe": op1_transducer_bpe,
     "op2_minmax_dedup": op2_minmax_dedup,
+    "op3_boosted_toxicity": op3_boosted_toxicity,
     "op5_simhash_decontamination": op5_simhash_decontamination,
+    "op6_kneser_ney_language": op6_kneser_ney_language,
     "op9_line_spread": op9_line_spread,
     "op10_byte_quality": op10_byte_quality,
 }
