@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import langid, lines
 from .bpe import encode_digests
 from .decontam import find_leaks
+from .embed import near_vectors
 from .labelled import fold
 from .minhash import near_duplicates
 from .quality import quality_scores
@@ -52,6 +53,11 @@ def op6_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2)
 
 
+def op8_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors."""
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines in all documents."""
     return lines.line_report(read(spark, sf_dir, "documents"))
@@ -62,16 +68,37 @@ def op10_byte_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+#: Links of all pairs of equal label, then the smallest vec_id reachable, by recursion over labels of components.
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), unit AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), low AS (SELECT a, min(b) AS low FROM reach GROUP BY a
+), deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce(low, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN low ON low.a = e.vec_id LEFT JOIN deg ON deg.a = e.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transducer_bpe": op1_transducer_bpe,
     "op2_minmax_dedup": op2_minmax_dedup,
     "op3_boosted_toxicity": op3_boosted_toxicity,
     "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_kneser_ney_language": op6_kneser_ney_language,
+    "op8_pstable_vectors": op8_pstable_vectors,
     "op9_line_spread": op9_line_spread,
     "op10_byte_quality": op10_byte_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_pstable_vectors": VECTORS_SQL,
     "op9_line_spread": lines.ORACLE,
 }
