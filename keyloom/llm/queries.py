@@ -13,6 +13,7 @@ from .decontam import find_leaks
 from .embed import near_vectors
 from .labelled import fold
 from .minhash import near_duplicates
+from .pii import personal_data
 from .quality import quality_scores
 from .tables import read
 from .toxicity import toxicity_scores
@@ -43,6 +44,11 @@ def op3_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in all documents."""
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transducer_bpe": op1_transducer_bpe,
     "op2_minmax_dedup": op2_minmax_dedup,
     "op3_boosted_toxicity": op3_boosted_toxicity,
+    "op4_field_pii": op4_field_pii,
     "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_kneser_ney_language": op6_kneser_ney_language,
     "op8_pstable_vectors": op8_pstable_vectors,
