@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines
+from . import langid, lines, substring
 from .bpe import encode_digests
 from .decontam import find_leaks
 from .embed import near_vectors
@@ -59,6 +59,11 @@ def op6_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2)
 
 
+def op7_recompression_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents."""
+    return substring.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_pstable_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all vectors."""
     return near_vectors(read(spark, sf_dir, "embeddings"))
@@ -100,12 +105,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_field_pii": op4_field_pii,
     "op5_simhash_decontamination": op5_simhash_decontamination,
     "op6_kneser_ney_language": op6_kneser_ney_language,
+    "op7_recompression_repeats": op7_recompression_repeats,
     "op8_pstable_vectors": op8_pstable_vectors,
     "op9_line_spread": op9_line_spread,
     "op10_byte_quality": op10_byte_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_recompression_repeats": substring.ORACLE,
     "op8_pstable_vectors": VECTORS_SQL,
     "op9_line_spread": lines.ORACLE,
 }
