@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -405,7 +406,7 @@ def encode_documents(docs: DataFrame, path: str, words: int = LEXICON_WORDS, id_
 
 def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Runs of rows of BATCH_CHARS bytes of text or one row."""
-    size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     i, done = 0, 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(size, done + BATCH_CHARS, side="right")))
