@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import decimal_text, parse_decimal, parse_int
 from .keyspace import Outcome, upsert
-from .writes import fresh, with_entries
+from .writes import by_key, fresh, with_entries
 
 NOT_INTEGER = "ERR value is not an integer or out of range"
 OVERFLOW = "ERR increment or decrement would overflow"
 NOT_FLOAT = "ERR value is not a valid float"
-_UPTO = Window.partitionBy("db", "key").orderBy("seq")
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
@@ -25,9 +24,9 @@ def incrby(ks: DataFrame, batch: DataFrame, as_of: int, sign: int = 1) -> Outcom
     rows = with_entries(ks, batch, as_of)
     base = F.when(F.col("old_found").isNull(), F.lit(0).cast("long")).otherwise(parse_int(F.col("old_value")))
     step = F.col("num").cast("decimal(28,0)") * sign
-    rows = rows.withColumn("base", base).withColumn("total", base.cast("decimal(28,0)") + F.sum(step).over(_UPTO))
+    rows = rows.withColumn("base", base).withColumn("total", base.cast("decimal(28,0)") + F.sum(step).over(by_key()))
     fine = F.col("total").between(F.lit(_LEAST).cast("decimal(28,0)"), F.lit(_MOST).cast("decimal(28,0)"))
-    rows = rows.withColumn("ok", F.min(F.coalesce(fine, F.lit(False))).over(_UPTO))
+    rows = rows.withColumn("ok", F.min(F.coalesce(fine, F.lit(False))).over(by_key()))
     error = F.when(F.col("base").isNull(), NOT_INTEGER).when(~F.col("ok"), OVERFLOW)
     replies = rows.select("seq", "db", "key", F.when(F.col("ok"), F.col("total")).cast("long").alias("reply_int"), error.alias("error"))
     new = rows.where("ok").groupBy("db", "key").agg(F.max_by("total", "seq").alias("total"), F.first("old_expiry").alias("at"))
@@ -56,7 +55,7 @@ def incrbyfloat(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:
     """
     rows = with_entries(ks, batch, as_of)
     base = F.when(F.col("old_found").isNull(), F.lit(0).cast("decimal(30,17)")).otherwise(parse_decimal(F.col("old_value")))
-    total = (base + F.sum(F.col("num").cast("decimal(28,17)")).over(_UPTO)).cast("decimal(38,17)")
+    total = (base + F.sum(F.col("num").cast("decimal(28,17)")).over(by_key())).cast("decimal(38,17)")
     rows = rows.withColumn("base", base).withColumn("text", decimal_text(total))
     error = F.when(F.col("base").isNull(), NOT_FLOAT)
     replies = rows.select("seq", "db", "key", F.col("text").cast("binary").alias("reply_bytes"), error.alias("error"))

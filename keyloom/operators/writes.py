@@ -6,14 +6,16 @@ batch and the replies. Keys of the keyspace are joined once and written once, wh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.values import overlay_bytes
 from .keyspace import COLUMNS, CommandError, Outcome, live, upsert
 
-_BY_KEY = Window.partitionBy("db", "key").orderBy("seq")
-_BEFORE = _BY_KEY.rowsBetween(Window.unboundedPreceding, -1)
+
+def by_key() -> WindowSpec:
+    """A key's commands in their order."""
+    return Window.partitionBy("db", "key").orderBy("seq")
 
 
 def with_entries(ks: DataFrame, batch: DataFrame, as_of: int) -> DataFrame:
@@ -57,10 +59,10 @@ def set_(ks: DataFrame, batch: DataFrame, as_of: int, *, ex: int | None = None,
     expiry = absolute_expiry("set", as_of, ex, px, exat, pxat)
     if expiry and keepttl:
         raise CommandError("ERR syntax error")
-    rows = with_entries(ks, batch, as_of).withColumn("nth", F.row_number().over(_BY_KEY)).withColumn("had", F.coalesce("old_found", F.lit(False)))
+    rows = with_entries(ks, batch, as_of).withColumn("nth", F.row_number().over(by_key())).withColumn("had", F.coalesce("old_found", F.lit(False)))
     applied = F.lit(True) if condition is None else (~F.col("had") & (F.col("nth") == 1)) if condition == "NX" else F.col("had")
     rows = rows.withColumn("applied", applied)
-    before = F.coalesce(F.last(F.when(F.col("applied"), F.col("value")), True).over(_BEFORE), F.col("old_value"))
+    before = F.coalesce(F.last(F.when(F.col("applied"), F.col("value")), True).over(by_key().rowsBetween(Window.unboundedPreceding, -1)), F.col("old_value"))
     reply = before if get else F.when(F.col("applied"), F.lit(b"OK"))
     replies = rows.select("seq", "db", "key", "applied", reply.alias("reply_bytes"))
     last = with_entries(ks, batch, as_of).groupBy("db", "key").agg(F.max_by("value", "seq").alias("last"), F.min_by("value", "seq").alias("first"), F.first("old_expiry").alias("old_expiry"), F.first("old_found").alias("old_found"))
@@ -128,7 +130,7 @@ unlink = delete
 
 def getdel(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:
     """GETDEL: the first command on a key gets its value, later ones null."""
-    rows = with_entries(ks, batch, as_of).withColumn("nth", F.row_number().over(_BY_KEY))
+    rows = with_entries(ks, batch, as_of).withColumn("nth", F.row_number().over(by_key()))
     replies = rows.select("seq", "db", "key", F.when(F.col("nth") == 1, F.col("old_value")).alias("reply_bytes"))
     return Outcome(ks.join(batch.select("db", "key").distinct(), ["db", "key"], "left_anti"), replies)
 
@@ -156,7 +158,7 @@ def getex(ks: DataFrame, batch: DataFrame, as_of: int, *, ex: int | None = None,
 def append(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:
     """APPEND: reply_int is the length in bytes after each command; the expiry stays."""
     rows = with_entries(ks, batch, as_of)
-    total = F.sum(F.octet_length("value")).over(_BY_KEY)
+    total = F.sum(F.octet_length("value")).over(by_key())
     replies = rows.select("seq", "db", "key", (F.coalesce(F.octet_length("old_value"), F.lit(0)) + total).cast("long").alias("reply_int"))
     parts = F.array_sort(F.collect_list(F.struct("seq", "value")))
     new = rows.groupBy("db", "key").agg(F.first("old_value").alias("old"), F.first("old_expiry").alias("at"), parts.alias("parts"))
@@ -172,7 +174,7 @@ def setrange(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:
     steps = rows.where(ok).groupBy("db", "key").agg(F.first("old_value").alias("old"), F.array_sort(F.collect_list(F.struct("seq", "offset", "value"))).alias("steps"))
     done = F.aggregate("steps", F.coalesce("old", F.unhex(F.lit(""))), lambda a, x: overlay_bytes(a, x["offset"], x["value"]))
     need = F.when(F.octet_length("value") > 0, F.col("offset") + F.octet_length("value")).otherwise(0)
-    length = F.greatest(F.coalesce(F.octet_length("old_value"), F.lit(0)), F.max(F.when(ok, need)).over(_BY_KEY))
+    length = F.greatest(F.coalesce(F.octet_length("old_value"), F.lit(0)), F.max(F.when(ok, need)).over(by_key()))
     replies = rows.select("seq", "db", "key", F.when(ok, length).cast("long").alias("reply_int"), F.when(~ok, "ERR offset is out of range").alias("error"))
     return Outcome(upsert(ks, fresh(steps, done, F.lit(0), as_of)), replies)
 
