@@ -14,6 +14,7 @@ from ..functions.values import as_bytes, byte_slice, overlay_bytes
 from ..operators import counters, eviction, expiry, numeric, reads, scans, writes
 from ..operators.keyspace import keyspace, live
 from ..sources import rdb, resp, snapshot
+from ..sources.staging import shared_folder
 from . import machine, replay
 
 #: The moment at which time-dependent queries look, 2024-01-15 00:00 UTC in epoch ms.
@@ -424,8 +425,7 @@ def streaming_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..streaming.live import replies
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"/tmp/keyloom-stream-{uuid.uuid4().hex}"
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     _commands(spark, sf_dir).write.parquet(f"{base}/log")
     stream = spark.readStream.schema(machine.LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
     q = replies(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/replies").trigger(availableNow=True).start()
@@ -497,8 +497,7 @@ def evict_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp"
-    path = f"{base}/snapshot-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
     snapshot.save(_orders(spark, sf_dir), path, AS_OF)
     return snapshot.load(spark, path).select("key", _text("value").alias("value"), "expiry_ms")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import writes
 from ..operators.keyspace import SCHEMA, CommandError, Outcome
+from ..sources.staging import stage
 from .machine import REPLY_SCHEMA, Entry, step
 
 #: Commands that name several keys; a replay is cut at each.
@@ -114,8 +115,11 @@ def replay(ks: DataFrame, log: DataFrame, max_barriers: int = 100) -> Outcome:
         part = single if low is None else single.where(F.col("seq") > low)
         part = part if cut is None else part.where(F.col("seq") < cut)
         done = fold(ks, part)
-        ks, more = done.keyspace, [done.replies]
-        if cut is not None:
+        if cut is None:
+            ks, more = done.keyspace, [done.replies]
+        else:
+            # what follows reads the keyspace several times
+            ks, more = stage(done.keyspace, "replay"), [done.replies]
             rows = crossing.where(F.col("seq") == cut)
             one = rows.first()
             if one["op"] == "FLUSHDB":
@@ -130,7 +134,7 @@ def replay(ks: DataFrame, log: DataFrame, max_barriers: int = 100) -> Outcome:
                     done = writes.copy(ks, batch, now, "REPLACE" in (one["opts"] or {}))
                 else:
                     done = writes.rename(ks, batch, now, one["op"] == "RENAMENX")
-                ks, r = done
+                ks, r = stage(done.keyspace, "replay"), done.replies
                 blank = {"key": "string", "reply_bytes": "binary", "reply_int": "long", "error": "string"}
                 more.append(r.select("seq", "db", *[(F.col(c) if c in r.columns else F.lit(None)).cast(t).alias(c) for c, t in blank.items()]))
         for m in more:
