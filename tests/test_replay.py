@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import ROOT
+from helpers import ROOT
 from pyspark.sql import functions as F
 
 from keyloom.operators.keyspace import SCHEMA, CommandError
