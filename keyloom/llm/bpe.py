@@ -377,10 +377,11 @@ def prepare(spark: SparkSession, path: str, words: int = LEXICON_WORDS):
     data = compile_lexicon({w: ids[first[i] : first[i + 1]].tolist() for i, w in enumerate(chosen)})
     v.words = []
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    place = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    with open(place, "wb") as f:
-        f.write(data)
-    spark.sparkContext.addFile(place)  # Spark's own file server hands it to each executor
+    if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
+        place = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
+        with open(place, "wb") as f:
+            f.write(data)
+        spark.sparkContext.addFile(place)  # Spark's own file server hands it to each executor
     return name, spark.sparkContext.broadcast(v)
 
 

@@ -10,8 +10,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to a Python worker at a time; the default of ten thousand whole texts takes too much of an executor's memory.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, if they are more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The input table ``name``."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
