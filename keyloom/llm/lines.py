@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import join_frequent, stage_table
+
 #: Lines on this many distinct sites are boilerplate.
 MIN_SITES = 5
 #: Width of the band round the threshold in which an estimate does not decide: six standard errors of a sketch of 2^12 registers.
@@ -20,26 +22,26 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(h1, h2, first) of the lines on ``min_sites`` sites or more; first is the (id, pos) of the smallest occurrence.
+    """(h1, h2, first, n) of the lines on ``min_sites`` sites or more; first is the (id, pos) of the smallest of n occurrences.
 
     A HyperLogLog sketch of sites per line hash, merged by aggregation, decides lines far from the threshold; those within
     NEAR (and one site) of it get exact distinct counts.
     """
     lines = _lines(docs, id_col, text_col, site_col)
-    spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(12))).alias("sites"), F.min(F.struct("id", "pos")).alias("first"))
+    spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(12))).alias("sites"), F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
     low, high = min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR) + 1
-    some = spread.where(F.col("sites") >= low)
-    sure = some.where(F.col("sites") > high).select("h1", "h2", "first")
-    near = some.where(F.col("sites") <= high).select("h1", "h2", "first")
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").where("site is not null").select("h1", "h2", "site").distinct()
-    exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    some = stage_table(spread.where(F.col("sites") >= low), "line-spread")
+    sure = some.where(F.col("sites") > high).select("h1", "h2", "first", "n")
+    near = some.where(F.col("sites") <= high).select("h1", "h2", "first", "n")
+    exact = join_frequent(lines.where("site is not null"), near.select("h1", "h2", "n"), ["h1", "h2"], "id").select("h1", "h2", "site").distinct()
+    exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
     return sure.unionByName(near.join(exact.select("h1", "h2"), ["h1", "h2"]))
 
 
 def _cut(docs: DataFrame, min_sites: int, keep_first: bool, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """(row_ struct of the input row, text_ without boilerplate, cut_ array of removed line positions or null)."""
     flagged = spread_lines(docs, min_sites, id_col, text_col, site_col)
-    hit = _lines(docs, id_col, text_col, site_col).join(flagged, ["h1", "h2"])
+    hit = join_frequent(_lines(docs, id_col, text_col, site_col), flagged, ["h1", "h2"], "id")
     if keep_first:
         hit = hit.where(~((F.col("first.id") == F.col("id")) & (F.col("first.pos") == F.col("pos"))))
     gone = hit.groupBy(F.col("id").alias("id_"), F.col("th").alias("th_")).agg(F.collect_set("pos").alias("cut_"))

@@ -8,10 +8,13 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Rows that go to a Python worker at a time; the default of ten thousand whole texts takes too much of an executor's memory.
 BATCH_ROWS = 1000
+#: Keys whose rows are dealt over SALTS tasks in a join; a key beyond these has less than a thousandth of all rows.
+HOT_KEYS, SALTS = 1000, 64
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -44,3 +47,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_frequent(rows: DataFrame, few: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """``rows`` joined with ``few``, which has one row per key and in ``n`` how many of ``rows`` have that key.
+
+    The HOT_KEYS keys with the most rows are salted by the hash of the column ``spread``; their list is broadcast, and
+    HOT_KEYS bounds it. ``few`` is staged, as it is read more than once; ``n`` is not in the result.
+    """
+    few = stage_table(few, "frequent")
+    hot = F.broadcast(few.orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("hot_")))
+    salted = rows.join(hot, keys, "left").withColumn("salt_", F.when(F.col("hot_"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot_")
+    salts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = few.join(hot, keys, "left").withColumn("salt_", F.explode(salts)).drop("hot_", "n")
+    return salted.join(dealt, [*keys, "salt_"]).drop("salt_")
