@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import Words, chunks, gram_hashes, mix, ragged
+from .tables import join_frequent
 
 #: Words of a window.
 WINDOW = 13
@@ -180,8 +181,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     real = source.where("id is not null and text is not null")
     marks = real.select("id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
-    lowest = marks.groupBy("t1", "t2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("t1", "t2", "lo")
-    copies = marks.join(lowest, ["t1", "t2"]).where("id > lo").select("id", "t1", "t2").distinct()
+    lowest = marks.groupBy("t1", "t2").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("t1", "t2", "lo", "n")
+    copies = join_frequent(marks, lowest, ["t1", "t2"], "id").where("id > lo").select("id", "t1", "t2").distinct()
     copies = copies.groupBy("id").agg(F.collect_set("t1").alias("copies"))
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
