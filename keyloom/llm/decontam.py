@@ -79,21 +79,25 @@ def _hits(items: Items, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[good], place[good]
 
 
-def _match(items: Items, words: np.ndarray, k: int, percent: int, radius: int, at: np.ndarray, place: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(item, start, shared weight, whole weight) of the best window of each item that reaches the similarity in one text."""
-    found: dict[int, tuple[int, int, int, int]] = {}
+def _match(items: Items, words: np.ndarray, k: int, percent: int, radius: int, at: np.ndarray, place: np.ndarray, grams: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(item, start, words, shared weight, whole weight) of the best window of each item that reaches the similarity in one
+    text. A text that is shorter than the item is its own only window."""
+    found: dict[int, tuple[int, int, int, int, int]] = {}
     owners = [items.owner[items.first[p] : items.first[p + 1]] for p in place]
     pos = np.repeat(at, [len(o) for o in owners])
     who = np.concatenate(owners)
     sizes = items.size[who]
     for size in np.unique(sizes):
-        if size < k or size > len(words):
+        if size < k:
             continue
         mine = sizes == size
-        span = int(size) - k + 1
+        weight, n_words = int(size) - k + 1, min(int(size), len(words))
+        span = n_words - k + 1
+        if 100 * span < percent * weight:  # too short, even if all of the text is in the item
+            continue
         # Windows of this size that hold a shingle of an item of this size; any other window has a similarity of 0 to all of them.
         starts = np.unique((pos[mine][:, None] - np.arange(span)).ravel())
-        starts = starts[(starts >= 0) & (starts + size <= len(words))]
+        starts = starts[(starts >= 0) & (starts + n_words <= len(words))]
         if not len(starts):
             continue
         cut = np.flatnonzero(np.diff(starts) > span)  # far apart: handled each by itself
@@ -111,13 +115,13 @@ def _match(items: Items, words: np.ndarray, k: int, percent: int, radius: int, a
                 g, n = np.unique(grams[start : start + span], return_counts=True)
                 _, i, j = np.intersect1d(g, items.grams[item], assume_unique=True, return_indices=True)
                 shared = int(np.minimum(n[i], items.weights[item][j]).sum())
-                whole = 2 * span - shared
-                if 100 * shared >= percent * whole and (item not in found or shared > found[item][2] or shared == found[item][2] and start < found[item][1]):
-                    found[item] = (item, start, shared, whole)
+                whole = span + weight - shared
+                if 100 * shared >= percent * whole and (item not in found or shared > found[item][3] or shared == found[item][3] and start < found[item][1]):
+                    found[item] = (item, start, n_words, shared, whole)
     return list(found.values())
 
 
-def _short(items: Items, words: np.ndarray, k: int) -> list[tuple[int, int, int, int]]:
+def _short(items: Items, words: np.ndarray, k: int) -> list[tuple[int, int, int, int, int]]:
     """Items of fewer than k words: their only shingle is the whole sequence."""
     found = []
     for size in np.unique(items.size[items.size < k]):
@@ -125,11 +129,11 @@ def _short(items: Items, words: np.ndarray, k: int) -> list[tuple[int, int, int,
         for item in np.flatnonzero(items.size == size):
             at = np.flatnonzero(grams == items.grams[item][0])
             if len(at):
-                found.append((int(item), int(at[0]), 1, 1))
+                found.append((int(item), int(at[0]), int(size), 1, 1))
     return found
 
 
-def scan(items: Items, texts: pa.Array, percent: int, radius: int) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+def scan(items: Items, texts: pa.Array, percent: int, radius: int) -> Iterator[tuple[int, list[tuple[int, int, int, int, int]]]]:
     """(row, matches) for every text with a match."""
     k, any_short = items.k, bool((items.size < items.k).any())
     for i, j, buf, off in chunks(texts, lower=True):
@@ -165,7 +169,8 @@ def _blocks(benchmark: DataFrame, item_id: str, text_col: str, size: int) -> Ite
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 75, radius: int = RADIUS, block_items: int = BLOCK_ITEMS, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row per document and benchmark item in it: id, item id, start_word, n_words, shared, total, similarity.
 
-    Texts are lower-cased (A-Z) and cut into words at ASCII white space. A window has as many words as the item. The
+    Texts are lower-cased (A-Z) and cut into words at ASCII white space. A window has as many words as the item; a
+    text of ``k`` or more words that is shorter than the item is one window, with its own number of words. The
     weight of a k-word shingle is how often it occurs; similarity is the sum of the smaller weights over that of the larger
     ones, and a row tells of the most similar window (the first of equals) with 100 * shared >= percent * total.
 
@@ -185,8 +190,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int =
                 for row, found in scan(items, batch.column(1), percent, radius):
                     rows += [row] * len(found)
                     hits += found
-                m = np.array(hits, np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items.ids[m[:, 0]]), pa.array(m[:, 1]), pa.array(items.size[m[:, 0]]), pa.array(m[:, 2]), pa.array(m[:, 3])], names=["id", "item", "start_word", "n_words", "shared", "total"])
+                m = np.array(hits, np.int64).reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items.ids[m[:, 0]]), *[pa.array(m[:, c]) for c in range(1, 5)]], names=["id", "item", "start_word", "n_words", "shared", "total"])
 
         part = source.mapInArrow(run, "id long, item long, start_word long, n_words long, shared long, total long")
         out = part if out is None else out.union(part)

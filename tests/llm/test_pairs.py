@@ -163,6 +163,42 @@ def test_leaks(spark, docs, texts, nothing):
     assert decontam.find_leaks(nothing, bench).count() == 0 and decontam.find_leaks(docs, bench.where("1 = 0")).count() == 0
 
 
+def brute_whole_leaks(rows, items, k=5):
+    """As brute_leaks, and a text of k or more words that is shorter than the item is one window."""
+    from collections import Counter
+
+    out = brute_leaks(rows, items, k)
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        for item, text in items:
+            q = (text or "").encode().lower().split()
+            if item is None or not k <= len(w) < len(q):
+                continue
+            c, target = (Counter(tuple(x[p : p + k]) for p in range(len(x) - k + 1)) for x in (w, q))
+            shared, total = sum((c & target).values()), sum((c | target).values())
+            if 100 * shared >= 75 * total:
+                out.append((i, item, 0, len(w), shared, total))
+    return sorted(out, key=repr)
+
+
+def test_leaks_in_texts_shorter_than_the_item(spark):
+    from llm_data import prose
+
+    w = prose(5, 40).split()
+    texts = [w[:39], w[1:], w[1:39], w[3:36], w[:31], w[:32], w[:12] + ["odd"] + w[13:38], w[:4], w, prose(6, 30).split(), prose(8, 20).split() + w[:39], w[5:13], w[5:11], w[5:12], w[5:9]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(None, " ".join(w[:39])), (90, None), (91, "")]
+    items = [(1, " ".join(w)), (2, " ".join(w[5:13])), (3, " ".join(w[:3])), (4, " ".join(w[:38])), (5, None), (6, prose(77, 20)), (7, " ".join(["la lu"] * 10))]
+    rows.append((92, " ".join(["la lu"] * 9)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_whole_leaks(rows, items)
+    assert (0, 1, 0, 39, 35, 36) in want and len(want) > len(brute_leaks(rows, items))
+    for block in (20_000, 2):
+        assert got(decontam.find_leaks(docs, bench, block_items=block).drop("similarity")) == want
+    bad = {i for i, *_ in want}
+    assert sorted(repr(r[0]) for r in decontam.drop_leaks(docs, bench).collect()) == sorted(repr(i) for i, _ in rows if i not in bad)
+
+
 def test_radius_and_index():
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, 30))) for i in range(50)]
