@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,10 @@ from .arrow_text import buffers
 
 #: Characters per gram; each character is a code of BITS bits, so a gram is one integer whose prefix and suffix are shifts of it.
 ORDER, BITS = 4, 10
-#: Grams of the highest order that a language's model holds at most, the most frequent first: 12 bytes each are broadcast.
+#: Grams of the highest order, of all languages, that one pass over the texts holds; more grams take more passes, none is left out.
 MODEL_GRAMS = 1 << 20
+#: The sharpness of a score is one of these, or SHARPNESS if no document tells of it. Of CALIBRATION folds, one is for that.
+GRID, SHARPNESS, CALIBRATION = np.geomspace(0.05, 100, 64), 6.0, 5
 #: Characters handled at a time.
 CHUNK = 1 << 20
 
@@ -122,21 +126,36 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _discount(ones: float, twos: float) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
+class Whole(NamedTuple):
+    """What a language's grams tell only all together: discounts from the lowest order to the highest, and the grams of
+    orders 1 and 2 with the number of characters seen before them."""
+
+    discounts: list[float]
+    low: list[tuple[np.ndarray, np.ndarray]]
+
+
 class Model:
     """Interpolated Kneser-Ney probabilities of one language, in sorted arrays."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, alphabet: int) -> None:
-        """grams sorted. The highest order uses counts, the lower ones the number of characters seen before a gram."""
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, alphabet: int, whole: Whole | None = None) -> None:
+        """grams sorted. The highest order uses counts, the lower ones the number of characters seen before a gram.
+
+        With ``whole``, grams may be those of a shard: the ones with some pairs of characters in the middle. Their
+        contexts and their tails of order 3 are in no other shard.
+        """
         self.keys, self.probs, self.rest = [], [], []
         levels = [(grams, counts.astype(np.float64))]
         for o in range(ORDER - 1, 0, -1):
             tails = levels[-1][0] & ((1 << (o * BITS)) - 1)
-            levels.append(tuple(np.unique(tails, return_counts=True)))
+            levels.append(tuple(np.unique(tails, return_counts=True)) if whole is None or o > 2 else whole.low[o - 1])
         lower: np.ndarray | None = None
         self.floor = 1.0 / (alphabet + 1)
         for o, (g, n) in enumerate(reversed(levels), 1):
-            ones, twos = float((n == 1).sum()), float((n == 2).sum())
-            d = ones / (ones + 2 * twos) if ones and twos else 0.5
+            d = _discount(float((n == 1).sum()), float((n == 2).sum())) if whole is None else whole.discounts[o - 1]
             ctx, at = np.unique(g >> BITS, return_inverse=True)
             total = np.bincount(at, n)
             kinds = np.bincount(at)
@@ -176,75 +195,178 @@ class Model:
         return np.log(np.maximum(self._at(ORDER, grams), 1e-12)).astype(np.float32)
 
 
-def fit(docs: DataFrame, model_grams: int = MODEL_GRAMS, text_col: str = "text", lang_col: str = "lang") -> dict[str, Model]:
-    """A model for each language, from counts over all of ``docs``; the driver gets ``model_grams`` rows a language at most."""
-    from pyspark.sql import Window
+def _shard(grams: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each gram, by its two characters in the middle."""
+    return ((grams >> BITS & (1 << 2 * BITS) - 1) * 2654435761 >> 16) % shards
+
+
+@dataclass
+class Models:
+    """Models of all languages over every gram that was counted, built shard by shard."""
+
+    names: list[str]
+    counts: DataFrame  # lang, gram, n
+    shards: int
+    alphabet: int
+    whole: dict[str, Whole]
+
+    def shard(self, s: int) -> list[Model]:
+        """The models of one shard, in the order of names."""
+        mine = self.counts.where(F.expr(f"((shiftright(gram, {BITS}) & {(1 << 2 * BITS) - 1}) * 2654435761L >> 16) % {self.shards} = {s}"))
+        parts = _by_language(mine.select("lang", "gram", "n").toArrow())
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return [Model(*parts.get(x, none), self.alphabet, self.whole[x]) for x in self.names]
+
+
+def _by_language(table: pa.Table) -> dict[str, tuple[np.ndarray, ...]]:
+    """Columns after the first of each language's rows, in the order of the second."""
+    langs = table.column(0).combine_chunks().dictionary_encode()
+    langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
+    code, columns = langs.indices.to_numpy(), [c.to_numpy() for c in table.columns[1:]]
+    order = np.lexsort((columns[0], code))
+    cuts = np.searchsorted(code[order], np.arange(len(langs.dictionary) + 1))
+    return {x: tuple(c[order[cuts[i] : cuts[i + 1]]] for c in columns) for i, x in enumerate(langs.dictionary.to_pylist())}
+
+
+def models_of(counts: DataFrame, model_grams: int = MODEL_GRAMS) -> Models:
+    """Models from staged counts. The driver gets a row for each language and each pair of characters, and a shard at a time."""
+    top = {r["lang"]: r for r in counts.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()}
+    tails = counts.groupBy("lang", F.col("gram").bitwiseAND((1 << 3 * BITS) - 1).alias("gram")).agg(F.count("*").alias("n"))
+    pairs = tails.groupBy("lang", F.col("gram").bitwiseAND((1 << 2 * BITS) - 1).alias("pair"))
+    two = _by_language(pairs.agg(F.count("*").alias("n"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).toArrow())
+    whole, letters = {}, [np.zeros(0, np.int64)]
+    for lang, (pair, n, ones, twos) in two.items():
+        one = np.unique(pair & (1 << BITS) - 1, return_counts=True)
+        low = [_discount(float((c == 1).sum()), float((c == 2).sum())) for c in (one[1], n)]
+        whole[lang] = Whole([*low, _discount(float(ones.sum()), float(twos.sum())), _discount(float(top[lang]["ones"]), float(top[lang]["twos"]))], [one, (pair, n)])
+        letters.append(one[0])
+    return Models(sorted(top), counts, max(1, -(-sum(r["n"] for r in top.values()) // model_grams)), len(np.unique(np.concatenate(letters))), whole)
+
+
+def fit(docs: DataFrame, model_grams: int = MODEL_GRAMS, text_col: str = "text", lang_col: str = "lang") -> Models:
+    """A model for each language, from all grams of all of ``docs``."""
+    from .tables import stage_table
+
+    return models_of(stage_table(count_grams(docs, text_col, lang_col), "lang-grams"), model_grams)
+
 
+def _scored(source: DataFrame, models: Models, finish: Callable[[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``finish`` makes of rows of ``source`` (text first), their cross-entropies (language, row), grams and letters.
+
+    Each shard of the models takes a pass that adds its part to each row's sums; between passes the rows are staged, so
+    that a task holds one shard.
+    """
     from .tables import stage_table
 
-    counts = stage_table(count_grams(docs, text_col, lang_col), "lang-grams")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    raw = {}
-    for lang in langs:
-        mine = counts.where(F.col("lang") == lang).select("gram", "n")
-        top = mine.orderBy(F.desc("n"), "gram").limit(model_grams) if mine.count() > model_grams else mine
-        table = top.toArrow()
-        order = np.argsort(table["gram"].to_numpy())
-        raw[lang] = table["gram"].to_numpy()[order], table["n"].to_numpy()[order]
-    alphabet = len(np.unique(np.concatenate([g & ((1 << BITS) - 1) for g, _ in raw.values()]))) if raw else 0
-    return {lang: Model(g, n, alphabet) for lang, (g, n) in raw.items()}
+    names, shards, columns = len(models.names), models.shards, source.columns
+    rows = source.withColumn("sums_", F.array().cast("array<double>"))
+    for s in range(shards):
+        shared = source.sparkSession.sparkContext.broadcast(models.shard(s))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, s=s) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(0, np.int64)
+            logs = np.zeros((names, 0), np.float32)
+            for batch in batches:
+                for i, j, grams, first, letters in _pieces(batch.column(0)):
+                    sums, size = np.zeros((names, j - i)), np.diff(first)
+                    if names and len(grams):
+                        kinds, at = np.unique(grams, return_inverse=True)
+                        place = np.minimum(np.searchsorted(seen, kinds), max(0, len(seen) - 1))
+                        new = seen[place] != kinds if len(seen) else np.ones(len(kinds), bool)
+                        if new.any():  # probabilities of grams met before are kept
+                            if len(seen) > 1_000_000:
+                                seen, logs, new = seen[:0], logs[:, :0], np.ones(len(kinds), bool)
+                            fresh = kinds[new]
+                            more, mine = np.zeros((names, len(fresh)), np.float32), _shard(fresh, shards) == s
+                            more[:, mine] = np.stack([m.logs(fresh[mine]) for m in shared.value])
+                            order = np.argsort(np.concatenate([seen, fresh]), kind="stable")
+                            seen, logs = np.concatenate([seen, fresh])[order], np.concatenate([logs, more], axis=1)[:, order]
+                            place = np.searchsorted(seen, kinds)
+                        sums = np.stack([np.add.reduceat(row[at].astype(np.float64), first[:-1]) for row in logs[:, place]])
+                    part = batch.slice(i, j - i)
+                    if s:
+                        sums = sums + part.column(len(columns)).flatten().to_numpy().reshape(j - i, names).T
+                    if s == shards - 1:
+                        yield finish(part.select(columns), -sums / np.maximum(size, 1), size, letters)
+                    else:
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * names, pa.int32()), pa.array(np.ascontiguousarray(sums.T).ravel()))
+                        yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], lists], names=[*columns, "sums_"])
+
+        if s < shards - 1:
+            rows = stage_table(rows.mapInArrow(run, rows.schema), "lang-sums")
+            shared.unpersist()
+        else:
+            rows = rows.mapInArrow(run, schema)
+    return rows
 
 
-def predict(docs: DataFrame, models: dict[str, Model], least: float = 0.0, sharpness: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sharpened(cross: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What a sharpness is multiplied with before the softmax."""
+    return -cross * np.minimum(np.sqrt(size), 64)
+
+
+def sharpness_of(docs: DataFrame, models: Models, text_col: str = "text", lang_col: str = "lang") -> float:
+    """The sharpness of GRID under which the true languages of ``docs``, which models have not seen, are most likely."""
+    names = models.names
+
+    def finish(part: pa.RecordBatch, cross: np.ndarray, size: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
+        place = {x: i for i, x in enumerate(names)}
+        true = np.array([place.get(x, -1) for x in part.column(1).to_pylist()], np.int64)
+        ok = (true >= 0) & (letters > 0)
+        z, loss = _sharpened(cross, size)[:, ok], np.zeros(len(GRID))
+        if ok.any():
+            z = z - z[true[ok], np.arange(z.shape[1])]
+            top = z.max(0)
+            loss = np.array([(g * top + np.log(np.exp(g * (z - top)).sum(0))).sum() for g in GRID])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(GRID))), pa.array(loss), pa.array(np.full(len(GRID), ok.sum()))], names=["at", "loss", "n"])
+
+    source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    found = _scored(source, models, finish, "at long, loss double, n long").groupBy("at").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect()
+    found = [(r["loss"], r["at"]) for r in found if r["n"]]
+    return float(GRID[min(found)[1]]) if found else SHARPNESS
+
+
+def predict(docs: DataFrame, models: Models, least: float = 0.0, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for each row: the language of the lowest cross-entropy per character of the whole text.
 
     score is a softmax of minus the cross-entropies times ``sharpness`` times the root of the number of characters, 64 at
     most, so that short texts are less sure. A prediction whose score is below ``least`` is rejected: ``und``. So are, with
     score 0, null texts, texts without a letter, and all texts if there is no model. Ties go to the first name.
     """
-    names = sorted(models)
-    shared = docs.sparkSession.sparkContext.broadcast([models[n] for n in names])
+    names = models.names
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
-        logs = np.zeros((len(names), 0), np.float32)
-        for batch in batches:
-            for i, j, grams, first, letters in _pieces(batch.column(1)):
-                pred, score = np.full(j - i, "und", object), np.zeros(j - i)
-                if names and len(grams):
-                    kinds, at = np.unique(grams, return_inverse=True)
-                    place = np.minimum(np.searchsorted(seen, kinds), max(0, len(seen) - 1))
-                    new = seen[place] != kinds if len(seen) else np.ones(len(kinds), bool)
-                    if new.any():  # probabilities of grams met before are kept
-                        if len(seen) > 1_000_000:
-                            seen, logs, new = seen[:0], logs[:, :0], np.ones(len(kinds), bool)
-                        more = np.stack([m.logs(kinds[new]) for m in shared.value])
-                        order = np.argsort(np.concatenate([seen, kinds[new]]), kind="stable")
-                        seen, logs = np.concatenate([seen, kinds[new]])[order], np.concatenate([logs, more], axis=1)[:, order]
-                        place = np.searchsorted(seen, kinds)
-                    local = logs[:, place]
-                    size = np.diff(first)
-                    cross = np.stack([-np.add.reduceat(row[at].astype(np.float64), first[:-1]) / size for row in local])
-                    z = -cross * sharpness * np.minimum(np.sqrt(size), 64)
-                    z = np.exp(z - z.max(0))
-                    z /= z.sum(0)
-                    best = np.argmin(cross, axis=0)
-                    sure = z[best, np.arange(j - i)]
-                    ok = (letters > 0) & (sure >= least)
-                    pred[ok] = np.array(names, object)[best[ok]]
-                    score[letters > 0] = sure[letters > 0]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(pred, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, lang_pred string, score double").select(F.col("id").alias(id_col), "lang_pred", "score")
+    def finish(part: pa.RecordBatch, cross: np.ndarray, size: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
+        pred, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
+        if names:
+            z = _sharpened(cross, size) * sharpness
+            z = np.exp(z - z.max(0))
+            z /= z.sum(0)
+            best = np.argmin(cross, axis=0)
+            sure = z[best, np.arange(part.num_rows)]
+            ok = (letters > 0) & (sure >= least)
+            pred[ok] = np.array(names, object)[best[ok]]
+            score[letters > 0] = sure[letters > 0]
+        return pa.RecordBatch.from_arrays([part.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+
+    source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
+    return _scored(source, models, finish, "id long, lang_pred string, score double").select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
 def languages(docs: DataFrame, held: Column, model_grams: int = MODEL_GRAMS) -> DataFrame:
     """doc_id, held_out, lang_pred, score: models are fitted on documents outside ``held`` and applied to all.
 
-    Null ids are in no fold and are not learned from. Rows that repeat are learned and predicted each.
+    Null ids are in no fold and are not learned from. Rows that repeat are learned and predicted each. One of CALIBRATION
+    folds of the learnable documents is counted apart: models of the others set the score's sharpness on it, and the
+    models that are applied are of all.
     """
     from pyspark.sql.functions import coalesce, lit
 
-    models = fit(docs.where(~held & F.col("doc_id").isNotNull()), model_grams)
-    return predict(docs, models).select("doc_id", coalesce(held, lit(False)).alias("held_out"), "lang_pred", "score")
+    from .labelled import fold
+    from .tables import stage_table
+
+    known = docs.where(~held & F.col("doc_id").isNotNull())
+    apart = fold(F.col("doc_id"), CALIBRATION) == 0
+    rest, part = (stage_table(count_grams(known.where(x)), "lang-grams") for x in (~apart, apart))
+    sharpness = sharpness_of(known.where(apart), models_of(rest, model_grams))
+    both = stage_table(rest.union(part).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
+    return predict(docs, models_of(both, model_grams), sharpness=sharpness).select("doc_id", coalesce(held, lit(False)).alias("held_out"), "lang_pred", "score")

@@ -153,6 +153,40 @@ def test_odd_languages(spark, docs, nothing):
     assert sure.where("lang_pred <> 'und'").count() == 0
 
 
+def test_no_gram_is_left_out_of_language_models(spark):
+    """A pass for each shard gives what one model of all grams gives, however few grams a pass holds."""
+    rnd = random.Random(7)
+    rows = [(i, "".join(rnd.choice("abcdefgh " if i % 2 else "efghijkl ") for _ in range(rnd.randrange(3, 300))), "xy"[i % 2]) for i in range(80)] + [(90, None, "x"), (91, "", "y"), (92, "12", None), (None, "abc", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    texts = {x: pa.array([t for _, t, y in rows if y == x and t is not None]) for x in "xy"}
+    grams = {x: np.unique(np.concatenate([p[2] for p in langid._pieces(t)]), return_counts=True) for x, t in texts.items()}
+    alphabet = len(np.unique(np.concatenate([g & 1023 for g, _ in grams.values()])))
+    plain = [langid.Model(*grams[x], alphabet) for x in "xy"]
+    shown = {}
+    for i, t, _ in rows:
+        if t and i is not None:
+            _, _, g, _, letters = next(langid._pieces(pa.array([t])))
+            if letters[0]:
+                cross = [-m.logs(g).astype(float).mean() for m in plain]
+                z = np.exp(-6.0 * np.sqrt(len(g)) * (np.array(cross) - min(cross)))
+                shown[i] = "xy"[int(np.argmin(cross))], z.max() / z.sum()
+    for size in (1 << 20, 300):
+        models = langid.fit(frame, size)
+        assert models.counts.count() == sum(len(g) for g, _ in grams.values()) and (models.shards > 3) == (size == 300)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame, models).where("score > 0 and doc_id is not null").collect()}
+        assert got.keys() == shown.keys()
+        assert all(got[i][0] == shown[i][0] and abs(got[i][1] - shown[i][1]) < 1e-4 for i in shown)
+
+
+def test_sharpness_is_fitted(spark):
+    """Where half of the labels are wrong, a score near 1 is wrong too: the fitted sharpness is low; with right labels it is not."""
+    rnd = random.Random(8)
+    rows = [(i, "".join(rnd.choice("abcdef " if i % 2 else "defghi ") for _ in range(40)), "xy"[i % 2], "xy"[rnd.randrange(2)]) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, odd string")
+    models = langid.fit(frame)
+    assert langid.sharpness_of(frame, models, lang_col="odd") < 0.3 < 1 < langid.sharpness_of(frame, models)
+
+
 def plain_spans(text):
     rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
 
