@@ -14,21 +14,27 @@ def keys(ks: DataFrame, db: int, pattern: str, as_of: int, compat: bool = False,
     return live(ks, as_of, include_expired).where((F.col("db") == db) & glob_match(F.col("key"), pattern, compat)).select("key")
 
 
-def scan(ks: DataFrame, db: int, cursor: tuple[int, str] | None, as_of: int, match: str | None = None, count: int = 10_000, type_: str | None = None) -> DataFrame:
+def scan(ks: DataFrame, db: int, cursor: tuple[int, str] | None, as_of: int, match: str | None = None, count: int | None = 10_000, type_: str | None = None, until: tuple[int, str] | None = None) -> DataFrame:
     """SCAN: one page, (hash, key) in the order of a hash of the key, of ``count`` entries that come after ``cursor``.
 
     The cursor of the next page is the last row of this one; an empty page ends. Entries that are not written in between
     come exactly once. MATCH is applied to the page, so a page may be short before the end.
+
+    ``until`` is the last (hash, key) that a page may hold, and with a count of None a page has every entry up to it, in no
+    order: pages between bounds that are known beforehand need neither a sort nor one another.
     """
     if type_ is not None:
         raise CommandError("ERR the TYPE parameter is not yet supported")
-    if count <= 0:
+    if count is not None and count <= 0:
         raise CommandError("ERR syntax error")
     rows = live(ks, as_of).where(F.col("db") == db).select(F.xxhash64("key").alias("hash"), "key")
     if cursor is not None:
         h, k = F.lit(cursor[0]), F.lit(cursor[1])
         rows = rows.where((F.col("hash") > h) | ((F.col("hash") == h) & (F.col("key") > k)))
-    page = rows.orderBy("hash", "key").limit(count)
+    if until is not None:
+        h, k = F.lit(until[0]), F.lit(until[1])
+        rows = rows.where((F.col("hash") < h) | ((F.col("hash") == h) & (F.col("key") <= k)))
+    page = rows if count is None else rows.orderBy("hash", "key").limit(count)
     return page if match is None else page.withColumn("matches", glob_match(F.col("key"), match))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import as_bytes, byte_slice, overlay_bytes
 from ..operators import counters, eviction, expiry, numeric, reads, scans, writes
-from ..operators.keyspace import keyspace, live
+from ..operators.keyspace import keyspace
 from ..sources import rdb, resp, snapshot
 from ..sources.staging import shared_folder
 from . import machine, replay
@@ -179,11 +179,9 @@ def keys_glob_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_pages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two pages of SCAN cover a database: those up to a cursor, and those after it."""
     ks = _orders(spark, sf_dir)
-    n = 10_000_000
     cursor = (0, "")
-    after = scans.scan(ks, 0, cursor, AS_OF, count=n).select("key")
-    h = F.xxhash64("key")
-    return live(ks, AS_OF).where((h < 0) | ((h == 0) & (F.col("key") <= ""))).select("key").union(after)
+    before = scans.scan(ks, 0, None, AS_OF, count=None, until=cursor)
+    return before.union(scans.scan(ks, 0, cursor, AS_OF, count=None)).select("key")
 
 
 # Writes

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import values as V
 from keyloom.operators import eviction, expiry, numeric, reads, scans, settings, writes
-from keyloom.operators.keyspace import SCHEMA, CommandError, check_keys, live, select_db
+from keyloom.operators.keyspace import SCHEMA, CommandError, check_keys, keyspace, live, select_db
 
 NOW = 1_000_000
 
@@ -185,6 +185,22 @@ def test_glob_counts_bytes(spark):
     assert scans.keys(some, 0, "?", NOW, compat=True).count() == 2
 
 
+def test_scan_pages_between_bounds_have_no_cap(spark):
+    from helpers import SF_DIR
+
+    from keyloom.plans.queries import QUERIES
+
+    plan = QUERIES["scan_pages_union"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Sort" not in plan
+    some = spark.createDataFrame([(0, f"k{i}") for i in range(300)] + [(0, ""), (1, "k1")], "db int, key string")
+    some = keyspace(some, F.col("db"), F.col("key"), F.lit(b"v"))
+    h = some.where("db = 0").select(F.xxhash64("key").alias("h"), "key").orderBy("h").collect()
+    cuts = [None, (h[20]["h"], h[20]["key"]), (h[21]["h"], ""), (0, ""), (h[250]["h"], h[250]["key"]), None]
+    pages = [[r["key"] for r in scans.scan(some, 0, a, NOW, count=None, until=b).collect()] for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert len(pages[0]) == 21 and len(pages[1]) == 0 and sorted(k for p in pages for k in p) == sorted(r["key"] for r in h)
+    assert [r["key"] for r in scans.scan(some, 0, None, NOW, count=30, until=cuts[1]).collect()] == [r["key"] for r in h[:21]]
+
+
 def test_scan_pages_cover_each_key_once(spark):
     some = ks(spark, *[(f"k{i}", b"", 0) for i in range(25)])
     pages = list(scans.scan_all(some, 0, NOW, count=4))
