@@ -523,3 +523,11 @@ def byte_slice_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, substr(hex(encode(text)), 1, 4) || '2D2D' AS head FROM documents")
 def overlay_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.substring(F.hex(overlay_bytes(as_bytes(F.col("text")), 2, F.lit(b"--"))), 1, 8).alias("head"))
+
+
+@query("""WITH h AS (SELECT doc_id, rpad(hex(encode(text)), CAST(greatest(4, 2 * octet_length(encode(text))) AS INTEGER), '0') AS x FROM documents), o AS (SELECT doc_id, substr(x, 1, 4) || '2D2D' || substr(x, 9) AS x FROM h)
+SELECT doc_id, sha256(x) AS value_sha256, CAST(length(x) // 2 AS BIGINT) AS n_bytes FROM o""")
+def overlay_docs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As overlay_docs, all of each overlaid text: the digest of its hex, and its octets."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", overlay_bytes(as_bytes(F.col("text")), 2, F.lit(b"--")).alias("value"))
+    return d.select("doc_id", F.sha2(F.hex("value"), 256).alias("value_sha256"), F.octet_length("value").cast("long").alias("n_bytes"))
