@@ -199,15 +199,86 @@ def test_leaks_in_texts_shorter_than_the_item(spark):
     assert sorted(repr(r[0]) for r in decontam.drop_leaks(docs, bench).collect()) == sorted(repr(i) for i, _ in rows if i not in bad)
 
 
-def test_radius_and_index():
+def indexed(rows, k=5):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["i", "t"])
+    return decontam.index_items([tuple(r.values()) for b in decontam._features(iter([batch]), k) for r in b.to_pylist()], k)
+
+
+def test_no_fingerprint_within_the_radius_is_missed():
     rng = np.random.default_rng(1)
-    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, 30))) for i in range(50)]
-    items = decontam.index_items(rows, 5, decontam.RADIUS)
-    a = items.prints[7].copy()
-    for b in rng.permutation(128)[: decontam.RADIUS]:
-        a[b // 8] ^= np.uint8(1 << (7 - b % 8))
-    near = np.unpackbits(np.bitwise_or.reduce(items.index[np.arange(16), a]))
-    assert near[7] == 1
+    items = indexed([(i, " ".join(f"w{x}" for x in rng.integers(0, 500, 30))) for i in range(50)])
+    (kind,) = items.kinds
+    for trial in range(300):
+        bits = rng.choice(64, decontam.RADIUS, replace=False)
+        print_ = kind.prints[trial % 50, :1] ^ np.uint64(sum(1 << int(b) for b in bits))
+        row, item = kind.near(print_, np.ones(1, bool))
+        assert trial % 50 in item.tolist()
+
+
+def test_blocks_let_few_unrelated_items_pass():
+    rng = np.random.default_rng(2)
+    items = indexed([(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 40))) for i in range(2000)])
+    (kind,) = items.kinds
+    other = indexed([(i, " ".join(f"v{x}" for x in rng.integers(0, 5000, 40))) for i in range(200)]).kinds[0].prints[:, 0].copy()
+    row, _ = kind.near(other, np.ones(200, bool), cut=64)
+    assert len(row) / (200 * 2000) < 0.01
+
+
+def changed(rnd, words, edits):
+    """Words with some replaced, left out or put in, and perhaps cut at an end."""
+    w = list(words)
+    for _ in range(edits):
+        at = rnd.randrange(len(w))
+        kind = rnd.randrange(3)
+        w[at : at + (kind < 2)] = ["other"] * (kind > 0)
+    return w[rnd.randrange(3) :] if rnd.random() < 0.5 else w
+
+
+def test_recall_against_brute_force(spark):
+    """Passages that differ from items so much that many are just similar enough: nearly all of these are found, and no other."""
+    from llm_data import prose
+
+    rnd = random.Random(6)
+    items = [(i, prose(1000 + i, rnd.randrange(15, 150))) for i in range(120)]
+    rows = []
+    for i in range(600):
+        n, text = items[i % 120]
+        part = changed(rnd, text.split(), rnd.randrange(0, 4) if len(text.split()) > 60 else rnd.randrange(0, 2))
+        rows.append((i, prose(3000 + i, rnd.randrange(0, 60)) + " " + " ".join(part) + " " + prose(5000 + i, rnd.randrange(0, 60))))
+    mine = [[(j, t) for j, t in items if sets(t) & sets(x)] for _, x in rows]  # an item without a common shingle has a similarity of 0
+    want = {tuple(x) for r, m in zip(rows, mine, strict=True) for x in brute_leaks([r], m)}
+    found = set(got(decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).drop("similarity")))
+    assert found <= want and len(want) > 300
+    tight = {r for r in want if 100 * r[4] < 85 * r[5]}
+    assert len(tight) > 60 and len(found & tight) >= 0.9 * len(tight) and len(found) >= 0.97 * len(want)
+
+
+def test_many_items_with_a_shared_beginning_take_little_time_and_memory():
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+    from llm_data import prose
+
+    head = prose(1, 8)
+    items = indexed([(i, head + " " + prose(100 + i, 30)) for i in range(2000)])
+    texts = pa.array([" ".join([head] * 450)])
+    tracemalloc.start()
+    began = time.time()
+    assert list(decontam.scan(items, texts, 75)) == []
+    assert time.time() - began < 5 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_long_items_and_long_texts(spark):
+    from llm_data import prose
+
+    long = prose(50, 900).split()
+    rows = [(1, " ".join(prose(51, 3000).split() + long + prose(52, 50).split())), (2, " ".join(long[:800])), (3, " ".join(long[:500])), (4, "no " * 5000)]
+    items = [(1, " ".join(long)), (2, "no " * 40)]
+    assert got(decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).drop("similarity")) == brute_whole_leaks(rows, items)
 
 
 def test_lines(spark, duck, docs, nothing):
