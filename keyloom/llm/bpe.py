@@ -6,14 +6,17 @@ arrays in one file that executors memory-map. Other words are merged exactly, ma
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import mmap
 import os
+import shutil
 import tempfile
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,10 @@ from .arrow_text import ragged
 LEXICON_WORDS = 60_000
 #: Characters of a batch of texts that are encoded together.
 BATCH_CHARS = 2_000_000
+#: Words of more bytes are merged one by one, in time that hardly grows faster than their length.
+LONG = 128
+#: Pieces that a worker remembers, and their characters.
+PIECES, PIECE_CHARS = 400_000, 20_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -94,6 +101,7 @@ class Merger:
             while self.slot[h] >= 0:
                 h += 1
             self.slot[h] = i
+        self.places: dict[int, tuple[int, int]] | None = None
 
     def _hash(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -114,8 +122,57 @@ class Merger:
         return out
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, first): the ids of word i are ids[first[i]:first[i + 1]]. In each round every word that still has a pair
-        to merge merges its leftmost pair of the lowest rank, as one merge after the other does."""
+        """(ids, first): the ids of word i are ids[first[i]:first[i + 1]]."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._merge_short(words)
+        parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        if short:
+            ids, first = self._merge_short([words[i] for i in short])
+            for n, i in enumerate(short):
+                parts[i] = ids[first[n] : first[n + 1]]
+        for i in long:
+            parts[i] = self._merge_long(words[i])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """One word's ids: pairs wait in a heap by rank and place, and a merge adds the two pairs that it makes."""
+        if self.places is None:
+            self.places = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.made.tolist(), strict=True)}
+        buf = np.frombuffer(word, np.uint8)
+        start = self.byte_id[buf]
+        start[-1] = self.last_id[buf[-1]]
+        found = self._find(start[:-1] * self.n + start[1:])
+        at = np.flatnonzero(found >= 0)
+        heap = ((self.ranks[found[at]] << 32) | at).tolist()
+        heapify(heap)
+        ids, n, places = start.tolist(), self.n, self.places
+        after, before = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
+        while heap:
+            x = heappop(heap)
+            i = x & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j < 0:
+                continue
+            pair = places.get(ids[i] * n + ids[j])
+            if pair is None or pair[0] != x >> 32:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = pair[1], -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+                if pair := places.get(ids[i] * n + ids[k]):
+                    heappush(heap, pair[0] << 32 | i)
+            h = before[i]
+            if h >= 0 and (pair := places.get(ids[h] * n + ids[i])):
+                heappush(heap, pair[0] << 32 | h)
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
+    def _merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As merge. In each round every word that still has a pair to merge merges its leftmost pair of the lowest rank, as
+        one merge after the other does."""
         lens = np.array([len(w) for w in words], np.int64)
         buf = np.frombuffer(b"".join(words), np.uint8)
         ids = self.byte_id[buf]
@@ -263,12 +320,12 @@ class _Numbers(dict):
 class Codec:
     """Encodes and decodes texts; one for each Python worker."""
 
-    def __init__(self, v: Vocabulary, lexicon: Lexicon, memory: int = 400_000) -> None:
-        self.v, self.lexicon, self.merger, self.memory = v, lexicon, Merger(v), memory
+    def __init__(self, v: Vocabulary, lexicon: Lexicon, memory: int = PIECES, chars: int = PIECE_CHARS) -> None:
+        self.v, self.lexicon, self.merger, self.memory, self.chars = v, lexicon, Merger(v), memory, chars
         self.find = regex.compile(v.pattern).findall
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(v.specials, key=len, reverse=True))) if v.specials else None
         self.token = np.array(v.tokens, object)
-        self.seen = _Numbers()  # pieces met so far; emptied when there are more than memory
+        self.seen, self.held = _Numbers(), 0  # pieces met so far and their characters; emptied when there are more than memory or chars
         self.flat, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def _normal(self, text: str) -> str:
@@ -298,6 +355,7 @@ class Codec:
     def _know(self) -> None:
         """Ids of the pieces that are new: each is cut into words, and the words' ids are put together."""
         new = list(self.seen)[len(self.first) - 1 :]
+        self.held += sum(map(len, new))
         words, counts, at = _Numbers(), [], []
         for piece in new:
             found = self.find(piece)
@@ -316,8 +374,8 @@ class Codec:
 
         A text is cut at blanks and newlines first, so that a piece met before costs one look-up.
         """
-        if len(self.seen) > self.memory:
-            self.seen, self.flat, self.first = _Numbers(), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        if len(self.seen) > self.memory or self.held > self.chars:
+            self.seen, self.held, self.flat, self.first = _Numbers(), 0, np.zeros(0, np.int64), np.zeros(1, np.int64)
         number, parts, counts = self.seen.__getitem__, [], []
         for text in texts:
             before = len(parts)
@@ -378,10 +436,11 @@ def prepare(spark: SparkSession, path: str, words: int = LEXICON_WORDS):
     v.words = []
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
-        place = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-        with open(place, "wb") as f:
+        folder = tempfile.mkdtemp(prefix="lexicon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with open(os.path.join(folder, name), "wb") as f:
             f.write(data)
-        spark.sparkContext.addFile(place)  # Spark's own file server hands it to each executor
+        spark.sparkContext.addFile(os.path.join(folder, name))  # Spark's own file server hands the driver's file to each executor
     return name, spark.sparkContext.broadcast(v)
 
 
@@ -416,7 +475,11 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def encode_digests(docs: DataFrame, path: str, words: int = LEXICON_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256 (ids as little-endian uint32) and decoded_sha256 (decoded text in UTF-8) of every whole text."""
+    """id, n_tokens, ids_sha256 (ids as little-endian uint32) and decoded_sha256 (decoded text in UTF-8) of every whole text.
+
+    A null or empty text has no tokens, and its digests are those of nothing. Rows that repeat, and null ids, are returned
+    each; only the id and text columns are read; an empty table gives an empty result.
+    """
     name, shared = prepare(docs.sparkSession, path, words)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
