@@ -15,22 +15,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-#: The fixed patterns.
+#: The fixed patterns, so that a run of digits or letters is read once: a number that fails is not tried again from its second
+#: digit on, and what stands before an at-sign is not tried again from its second letter on.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+_LOCAL, _HOST = r"[A-Za-z0-9._%+-]", re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_RUN, _NEXT_RUN = re.compile(rf"{_LOCAL}++@"), re.compile(rf"(?<!{_LOCAL}){_LOCAL}++@")
 LABELS = ["O"] + [f"{b}-{k}" for k in KINDS for b in "BI"]
 #: Weights are kept for hashed features.
 FEATURES = 1 << 13
 #: Words on each side of a digit or at-sign that are read with it.
 CONTEXT = 4
+#: Tokens, padding included, that are labelled in step.
+CELLS = 1 << 14
 
 Span = tuple[str, int, int]
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|\w")
+_WORD = re.compile(r"\S+")
 _HINT = re.compile(r"[0-9@]|[(\[{<]\s?(?:at|AT|dot|DOT)\s?[)\]}>]|\b(?:at|AT) [A-Za-z0-9-]+ (?:dot|DOT) ")
 
 
@@ -53,11 +58,22 @@ def _part(digits: str) -> bool:
     return len(digits) <= 3 and int(digits or 0) <= 255
 
 
+def _emails(text: str) -> Iterator[Span]:
+    """Matches of local part, at-sign and host with a dot; after a match the next may begin inside a run of letters."""
+    at = 0
+    while m := _RUN.match(text, at) or _NEXT_RUN.search(text, at):
+        host = _HOST.match(text, m.end())
+        at = m.end()
+        if host:
+            at = host.end()
+            yield "email", m.start(), at
+
+
 def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches of each pattern, less those that fail its test; by kind, then start."""
     out: list[Span] = []
     if "@" in text:
-        out += [("email", m.start(), m.end()) for m in PATTERNS["email"].finditer(text)]
+        out += _emails(text)
     if not _DIGIT.search(text):
         return out
     out += [("ip", m.start(), m.end()) for m in PATTERNS["ip"].finditer(text) if all(_part(p) for p in m.group().split("."))]
@@ -117,7 +133,7 @@ def _features(text: str, tokens: list[tuple[int, int]]) -> np.ndarray:
     shapes = [_shape(text[a:b]) for a, b in tokens]
     gap = [0] + [min(2, tokens[i][0] - tokens[i - 1][1]) for i in range(1, len(tokens))] + [0]
     pad = ["<", "<", "<", *shapes, ">", ">", ">"]
-    rows = []
+    rows = np.zeros((len(tokens), 12), np.int16)
     for i, (a, b) in enumerate(tokens):
         s, p, q, n, m = pad[i + 3], pad[i + 2], pad[i + 1], pad[i + 4], pad[i + 5]
         w = text[a:b].lower()
@@ -125,8 +141,8 @@ def _features(text: str, tokens: list[tuple[int, int]]) -> np.ndarray:
         small = "s" if s[0] == "d" and b - a <= 3 and int(text[a:b]) <= 255 else "-"
         g, h = gap[i], gap[i + 1]
         f = [s, f"p{p}|{s}", f"n{s}|{n}", f"q{q}|{p}|{s}", f"m{s}|{n}|{m}", f"r{pad[i]}|{q}|{p}|{s}", f"o{s}|{n}|{m}|{pad[i + 6]}", f"g{g}|{p}|{s}", f"h{h}|{s}|{n}", f"w{w}", f"c{small}|{g}|{h}", f"x{q}|{p}|{s}|{n}|{m}"]
-        rows.append([zlib.crc32(x.encode()) % FEATURES for x in f])
-    return np.array(rows, np.int64).reshape(len(tokens), 12)
+        rows[i] = [zlib.crc32(x.encode()) % FEATURES for x in f]
+    return rows
 
 
 @dataclass
@@ -138,31 +154,44 @@ class Field:
 
     def decode(self, feats: list[np.ndarray]) -> list[np.ndarray]:
         """The best labels of each sequence, by Viterbi over all sequences of a batch in step."""
-        lens = np.array([len(f) for f in feats], np.int64)
+        return self.paths([self.scores(f) for f in feats])
+
+    def scores(self, feats: np.ndarray) -> np.ndarray:
+        """(tokens, labels) sums of weights, a part of a long sequence at a time."""
+        return np.concatenate([self.emit[feats[i : i + CELLS]].sum(axis=1) for i in range(0, max(1, len(feats)), CELLS)])
+
+    def paths(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best labels of each sequence of scores. Sequences of similar length share a batch of CELLS tokens, padding
+        included, or one sequence."""
+        lens = np.array([len(e) for e in scores], np.int64)
         out: list[np.ndarray] = [np.zeros(n, np.int64) for n in lens]
-        order = np.argsort(-lens, kind="stable")
-        for at in range(0, len(order), 256):  # sequences of similar length share a batch
-            rows = [i for i in order[at : at + 256] if lens[i]]
-            if not rows:
-                continue
-            top = int(lens[rows[0]])
-            n = lens[rows]
-            e = np.zeros((len(rows), top, len(LABELS)))
+        order = np.argsort(-lens, kind="stable")[: int((lens > 0).sum())]
+        at = 0
+        while at < len(order):
+            top = int(lens[order[at]])
+            rows = order[at : at + max(1, CELLS // top)]
+            at += len(rows)
+            n, every = lens[rows], np.arange(len(rows))
+            e = np.zeros((top, len(rows), len(LABELS)))
             for k, i in enumerate(rows):
-                e[k, : lens[i]] = self.emit[feats[i]].sum(axis=1)
-            best, back = e[:, 0] + _START, np.zeros((len(rows), top, len(LABELS)), np.int64)
+                e[: lens[i], k] = scores[i]
+            best, back = e[0] + _START, np.zeros((top, len(rows), len(LABELS)), np.int8)
             last = best.copy()
+            live = len(rows)  # rows are sorted: the first ones go on
             for t in range(1, top):
-                step = best[:, :, None] + self.move
-                back[:, t] = step.argmax(axis=1)
-                best = step.max(axis=1) + e[:, t]
-                last[n == t + 1] = best[n == t + 1]
-            lab = last.argmax(axis=1)
+                while n[live - 1] <= t:
+                    live -= 1
+                step = best[:live, :, None] + self.move
+                back[t, :live] = step.argmax(axis=1)
+                best = step.max(axis=1) + e[t, :live]
+                last[:live] = best
+            y = last.argmax(axis=1)
+            path = np.zeros((top, len(rows)), np.int8)
+            for t in range(top - 1, -1, -1):
+                path[t] = y
+                y = np.where(t < n, back[t, every, y], y)
             for k, i in enumerate(rows):
-                y = lab[k]
-                for t in range(lens[i] - 1, -1, -1):
-                    out[i][t] = y
-                    y = back[k, t, y]
+                out[i][:] = path[: lens[i], k]
         return out
 
 
@@ -227,38 +256,20 @@ def train(table: list[tuple[str, list[Span]]], rounds: int = 100, rate: float =
 
 
 def _segments(text: str) -> list[list[tuple[int, int]]]:
-    """Tokens of the stretches of text that hold a digit, an at-sign or a written-out one, with CONTEXT tokens on each side.
+    """Tokens of the stretches of text that hold a digit, an at-sign or a written-out one, with CONTEXT words on each side.
 
-    A stretch never ends between two such signs that are close, so no span is cut.
+    A stretch is of whole words, however long, and those that touch are one; so no span is cut.
     """
-    out: list[list[tuple[int, int]]] = []
-    reach = -1
-    lo = 0
-    for m in _HINT.finditer(text):
-        a, b = m.start(), m.end()
-        if a < reach:
-            reach = max(reach, _onward(text, b))
-            continue
-        if reach >= 0:
-            out.append(_tokens(text, lo, reach))
-        lo, reach = _backward(text, a, max(reach, 0)), _onward(text, b)
-    if reach >= 0:
-        out.append(_tokens(text, lo, reach))
-    return out
-
-
-def _onward(text: str, at: int) -> int:
-    for _ in range(CONTEXT):
-        at = next((i for i in range(at, min(len(text), at + 400)) if text[i].isspace()), min(len(text), at + 400))
-        at = next((i for i in range(at, min(len(text), at + 400)) if not text[i].isspace()), min(len(text), at + 400))
-    return at
-
-
-def _backward(text: str, at: int, least: int) -> int:
-    for _ in range(CONTEXT):
-        at = next((i for i in range(at, max(least, at - 400), -1) if text[i - 1].isspace()), max(least, at - 400))
-        at = next((i for i in range(at, max(least, at - 400), -1) if not text[i - 1].isspace()), max(least, at - 400))
-    return next((i for i in range(at, max(least, at - 400), -1) if text[i - 1].isspace()), max(least, at - 400))
+    hints = [m.start() for m in _HINT.finditer(text)]
+    if not hints:
+        return []
+    starts, ends = (np.array(x) for x in zip(*(m.span() for m in _WORD.finditer(text)), strict=True))
+    word = np.unique(np.searchsorted(starts, hints, side="right") - 1)
+    lo, hi = np.maximum(word - CONTEXT, 0), np.minimum(word + CONTEXT, len(starts) - 1)
+    fresh = np.ones(len(word), bool)
+    fresh[1:] = lo[1:] > hi[:-1] + 1
+    at = np.flatnonzero(fresh)
+    return [_tokens(text, int(starts[a]), int(ends[b])) for a, b in zip(lo[at], hi[np.append(at[1:], len(word)) - 1], strict=True)]
 
 
 def _likely(kind: str, s: str) -> bool:
@@ -275,13 +286,13 @@ def _likely(kind: str, s: str) -> bool:
 def find_spans(texts: list[str | None], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text; the field's spans are added where they overlap no base span."""
     base = [base_spans(t or "") for t in texts]
-    where, feats, toks = [], [], []
+    where, scores, toks = [], [], []
     for i, t in enumerate(texts):
         for seg in _segments(t) if t else ():
             if seg:
-                where.append(i), toks.append(seg), feats.append(_features(t, seg))
+                where.append(i), toks.append(seg), scores.append(field.scores(_features(t, seg)))
     every = [list(b) for b in base]
-    for i, seg, labels in zip(where, toks, field.decode(feats), strict=True):
+    for i, seg, labels in zip(where, toks, field.paths(scores), strict=True):
         j = 0
         while j < len(seg):
             name = LABELS[labels[j]]
