@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .keyspace import COLUMNS, CommandError, Outcome
-from .writes import with_entries
-
-
-def _allowed(condition: str | None, old: Column, new: Column) -> Column:
-    """Whether an expiry may be set over ``old`` (0: none)."""
-    if condition is None:
-        return F.lit(True)
-    rules = {"NX": old == 0, "XX": old != 0, "GT": (old != 0) & (new > old), "LT": (old == 0) | (new < old)}
+from .writes import by_key, one_per_key, with_entries
+
+
+def _rules(condition: str | None, before: WindowSpec) -> tuple[Column, Column]:
+    """Whether a row with a later moment sets it, and whether one with a moment that is over does, if its key is there.
+
+    ``before`` is a key's earlier rows. Of them all that matters is the first (NX), the latest moment (GT) and the earliest
+    one (LT), whether they were set or not.
+    """
+    old, new = F.col("old_expiry"), F.col("new")
+    first = F.count(F.when(F.col("amount") > 0, 1)).over(before) == 0
+    most, least = F.max("moment").over(before), F.min("moment").over(before)
+    rules = {
+        None: (F.lit(True), F.lit(True)),
+        "NX": ((old == 0) & first,) * 2,
+        "XX": (old != 0,) * 2,
+        "GT": ((old != 0) & (new > F.greatest(old, most)), F.lit(False)),
+        "LT": (F.coalesce(new < F.least(F.when(old != 0, old), least), F.lit(True)), F.lit(True)),
+    }
     if condition not in rules:
         raise CommandError("ERR syntax error")
     return rules[condition]
 
 
 def _expire(ks: DataFrame, batch: DataFrame, as_of: int, condition: str | None, unit: int, relative: bool) -> Outcome:
-    """``batch``: seq, db, key, amount; one row for each key. An amount of 0 or less deletes the key."""
+    """``batch``: seq, db, key, amount. An amount of 0 or less deletes the key. A key's commands follow each other: after one
+    that deletes it, or sets a moment before ``as_of``, the next ones find no entry."""
     base = F.lit(as_of if relative else 0).cast("long")
-    rows = with_entries(ks, batch, as_of)
-    new = base + F.col("amount") * unit
-    found = F.col("old_found").isNotNull()
-    drop = found & (F.col("amount") <= 0)
-    keep = found & (F.col("amount") > 0) & _allowed(condition, F.col("old_expiry"), new)
-    rows = rows.withColumn("drop_", F.coalesce(drop, F.lit(False))).withColumn("new_", F.when(keep, new))
-    replies = rows.select("seq", "db", "key", (F.col("drop_") | F.col("new_").isNotNull()).cast("long").alias("reply_int"))
-    change = rows.where("drop_ or new_ is not null").groupBy("db", "key").agg(F.max_by("drop_", "seq").alias("drop_"), F.max_by("new_", "seq").alias("new_"))
+    before = by_key().rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_entries(ks, batch, as_of).withColumn("new", base + F.col("amount") * unit)
+    rows = rows.withColumn("moment", F.when(F.col("amount") > 0, F.col("new")))
+    sets, ends = _rules(condition, before)
+    rows = rows.withColumn("ends", F.coalesce((F.col("amount") <= 0) | (F.col("new") < as_of) & ends, F.lit(False))).withColumn("sets", F.coalesce(sets, F.lit(False)))
+    there = F.col("old_found").isNotNull() & ~F.coalesce(F.max("ends").over(before), F.lit(False))
+    rows = rows.withColumn("done", there & (F.col("ends") | F.col("sets")))
+    replies = rows.select("seq", "db", "key", F.col("done").cast("long").alias("reply_int"))
+    change = one_per_key(rows.where("done"), F.desc("seq")).select("db", "key", (F.col("amount") <= 0).alias("drop_"), F.col("new").alias("new_"))
     after = ks.join(change, ["db", "key"], "left").where(~F.coalesce("drop_", F.lit(False))).withColumn("expiry_ms", F.coalesce("new_", "expiry_ms")).select(*COLUMNS)
     return Outcome(after, replies)
 
@@ -56,8 +69,8 @@ def pexpireat(ks: DataFrame, batch: DataFrame, as_of: int, condition: str | None
 
 def persist(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:
     """PERSIST: reply_int is 1 if an expiry was taken away."""
-    rows = with_entries(ks, batch, as_of)
-    had = F.coalesce(F.col("old_expiry") != 0, F.lit(False))
+    rows = with_entries(ks, batch, as_of).withColumn("nth", F.row_number().over(by_key()))
+    had = F.coalesce(F.col("old_expiry") != 0, F.lit(False)) & (F.col("nth") == 1)
     replies = rows.select("seq", "db", "key", had.cast("long").alias("reply_int"))
     change = rows.where(had).select("db", "key").distinct().withColumn("clear", F.lit(True))
     after = ks.join(change, ["db", "key"], "left").withColumn("expiry_ms", F.when(F.col("clear"), F.lit(0).cast("long")).otherwise(F.col("expiry_ms"))).select(*COLUMNS)

@@ -55,15 +55,13 @@ def live(ks: DataFrame, as_of: int | Column, include_expired: bool = False) -> D
 def upsert(ks: DataFrame, new: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """``ks`` with the entries ``new`` (unique keys) instead of its own, and without the keys ``gone``.
 
-    A key that both name is written. Entries are tagged and compared by an aggregation, so each side is shuffled once.
+    A key that both name is written. The keyspace is read in passing: its entries that are not named stay, which takes no
+    shuffle of it where the named keys are few enough for Spark to broadcast them.
     """
-    tagged = ks.select(*COLUMNS, F.lit(0).alias("turn_")).unionByName(new.select(*COLUMNS, F.lit(2).alias("turn_")))
+    named = new.select("db", "key")
     if gone is not None:
-        empty = {"value": "binary", "expiry_ms": "long", "created_ms": "long", "last_access_ms": "long", "accesses": "long"}
-        tagged = tagged.unionByName(gone.select("db", "key", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], F.lit(1).alias("turn_")))
-    entry = F.struct("turn_", *[c for c in COLUMNS if c not in ("db", "key")])
-    last = tagged.groupBy("db", "key").agg(F.max_by(entry, "turn_").alias("e"))
-    return last.where("e.turn_ <> 1").select("db", "key", *[F.col(f"e.{c}").alias(c) for c in COLUMNS[2:]])
+        named = named.union(gone.select("db", "key"))
+    return ks.join(named, ["db", "key"], "left_anti").select(*COLUMNS).union(new.select(*COLUMNS))
 
 
 def check_keys(batch: DataFrame) -> DataFrame:

@@ -67,6 +67,32 @@ def slice_bytes(value: bytes, start: int, end: int) -> bytes:
     return b"" if a < 0 or b < a or a >= n else value[a : b + 1]
 
 
+def cross(state: dict[tuple[int, str], Entry], op: str, db: int, args: list[tuple[str, bytes | None]], now: int, opts: dict[str, str]) -> Reply:
+    """A command on several keys of ``db`` applied to ``state``, and its reply: RENAME, RENAMENX and COPY of the first key to
+    the second, MSETNX of all keys and values."""
+    live = lambda key: (e := state.get((db, key))) is not None and not (e.expiry_ms and now > e.expiry_ms)
+    if op == "MSETNX":
+        if any(live(key) for key, _ in args):
+            return Reply(reply_int=0)
+        for key, value in args:
+            state[db, key] = Entry(value or b"", 0, now, now, 0)
+        return Reply(reply_int=1)
+    (src, _), (dst, _) = args
+    if op == "COPY":
+        if not live(src) or live(dst) and "REPLACE" not in opts:
+            return Reply(reply_int=0)
+        state[db, dst] = Entry(state[db, src].value, 0, now, now, 0)
+        return Reply(reply_int=1)
+    if src == dst:
+        return Reply(reply_int=0) if op == "RENAMENX" else OK
+    if not live(src):
+        return Reply(error="ERR no such key")
+    if op == "RENAMENX" and live(dst):
+        return Reply(reply_int=0)
+    state[db, dst] = state.pop((db, src))
+    return Reply(reply_int=1) if op == "RENAMENX" else OK
+
+
 def step(e: Entry | None, op: str, now: int, arg: bytes | None, num: str | None, ttl_ms: int | None, opts: dict[str, str] | None) -> tuple[Entry | None, Reply]:
     """The entry and the reply after one command at ``now``; an expired entry is none."""
     opts = opts or {}

@@ -6,6 +6,8 @@ batch and the replies. Keys of the keyspace are joined once and written once, wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -13,17 +15,26 @@ from ..functions.values import overlay_bytes
 from .keyspace import COLUMNS, CommandError, Outcome, live, upsert
 
 
-def by_key() -> WindowSpec:
+def by_key(*order: str | Column) -> WindowSpec:
     """A key's commands in their order."""
-    return Window.partitionBy("db", "key").orderBy("seq")
+    return Window.partitionBy("db", "key").orderBy(*(order or ("seq",)))
 
 
 def with_entries(ks: DataFrame, batch: DataFrame, as_of: int) -> DataFrame:
-    """The batch with old_value, old_expiry and old_found of each key's live entry."""
-    entries = live(ks, as_of).select("db", "key", F.col("value").alias("old_value"), F.col("expiry_ms").alias("old_expiry"), F.lit(True).alias("old_found"))
+    """The batch with old_value, old_expiry and old_found of each key's live entry.
+
+    The entries that the batch names are picked first, so the keyspace is not shuffled for a batch that Spark can broadcast.
+    """
+    entries = live(ks, as_of).join(batch.select("db", "key"), ["db", "key"], "left_semi")
+    entries = entries.select("db", "key", F.col("value").alias("old_value"), F.col("expiry_ms").alias("old_expiry"), F.lit(True).alias("old_found"))
     return batch.join(entries, ["db", "key"], "left")
 
 
+def one_per_key(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """The first row of each key in an order; every task keeps its own first rows before they are dealt out."""
+    return rows.withColumn("nth_", F.row_number().over(by_key(*order))).where("nth_ = 1").drop("nth_")
+
+
 def enforce_ttl(expiry_ms: Column, as_of: int, default_ttl_ms: int | None = None, max_ttl_ms: int | None = None) -> Column:
     """An expiry under the server's limits: none becomes the default, if there is one; a later one than allowed is cut."""
     now = F.lit(as_of).cast("long")
@@ -52,24 +63,33 @@ def absolute_expiry(command: str, as_of: int, ex: int | None = None, px: int | N
     return 0
 
 
-def set_(ks: DataFrame, batch: DataFrame, as_of: int, *, ex: int | None = None, px: int | None = None, exat: int | None = None, pxat: int | None = None, keepttl: bool = False, condition: str | None = None, get: bool = False, default_ttl_ms: int | None = None, max_ttl_ms: int | None = None) -> Outcome:
-    """SET: ``batch`` also has value. Replies: applied, and reply_bytes: ``OK`` or null, with ``get`` the value before."""
+def set_(ks: DataFrame, batch: DataFrame, as_of: int, *, ex: int | None = None, px: int | None = None, exat: int | None = None, pxat: int | None = None, keepttl: bool = False, condition: str | None = None, get: bool = False, default_ttl_ms: int | None = None, max_ttl_ms: int | None = None, order: tuple[str, ...] = ("seq",)) -> Outcome:
+    """SET: ``batch`` also has value. Replies: applied, and reply_bytes: ``OK`` or null, with ``get`` the value before.
+
+    A key's commands follow each other by ``order``. One whose expiry lies before ``as_of`` leaves an entry that the next
+    does not see.
+    """
     if condition not in (None, "NX", "XX"):
         raise CommandError("ERR syntax error")
     expiry = absolute_expiry("set", as_of, ex, px, exat, pxat)
     if expiry and keepttl:
         raise CommandError("ERR syntax error")
-    rows = with_entries(ks, batch, as_of).withColumn("nth", F.row_number().over(by_key())).withColumn("had", F.coalesce("old_found", F.lit(False)))
-    applied = F.lit(True) if condition is None else (~F.col("had") & (F.col("nth") == 1)) if condition == "NX" else F.col("had")
+    unseen = 0 < expiry < as_of
+    base = with_entries(ks, batch, as_of).withColumn("had", F.coalesce("old_found", F.lit(False)))
+    rows = base.withColumn("nth", F.row_number().over(by_key(*order)))
+    first = F.lit(True) if unseen and condition == "NX" else F.col("nth") == 1
+    applied = F.lit(True) if condition is None else ~F.col("had") & first if condition == "NX" else F.col("had") & (first if unseen else F.lit(True))
     rows = rows.withColumn("applied", applied)
-    before = F.coalesce(F.last(F.when(F.col("applied"), F.col("value")), True).over(by_key().rowsBetween(Window.unboundedPreceding, -1)), F.col("old_value"))
+    earlier = F.last(F.when(F.col("applied"), F.col("value")), True).over(by_key(*order).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.when(F.col("nth") == 1, F.col("old_value")) if unseen else F.coalesce(earlier, F.col("old_value"))
     reply = before if get else F.when(F.col("applied"), F.lit(b"OK"))
     replies = rows.select("seq", "db", "key", "applied", reply.alias("reply_bytes"))
-    last = with_entries(ks, batch, as_of).groupBy("db", "key").agg(F.max_by("value", "seq").alias("last"), F.min_by("value", "seq").alias("first"), F.first("old_expiry").alias("old_expiry"), F.first("old_found").alias("old_found"))
     if condition:
-        last = last.where(F.col("old_found").isNull() if condition == "NX" else F.col("old_found").isNotNull())
+        base = base.where(~F.col("had") if condition == "NX" else F.col("had"))
+    first_counts = condition == "NX" and not unseen or condition == "XX" and unseen
+    last = one_per_key(base, *[F.col(c) if first_counts else F.col(c).desc() for c in order])
     at = F.coalesce(F.col("old_expiry"), F.lit(0).cast("long")) if keepttl else F.lit(expiry).cast("long")
-    return Outcome(upsert(ks, fresh(last, "first" if condition == "NX" else "last", enforce_ttl(at, as_of, default_ttl_ms, max_ttl_ms), as_of)), replies)
+    return Outcome(upsert(ks, fresh(last, "value", enforce_ttl(at, as_of, default_ttl_ms, max_ttl_ms), as_of)), replies)
 
 
 def _flag(outcome: Outcome) -> Outcome:
@@ -102,18 +122,22 @@ def getset(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:
 
 def mset(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:
     """MSET: ``batch`` has a row for each key and value, pos being their order; of equal keys the last wins."""
-    flat = batch.select((F.col("seq") * 1_000_000 + F.col("pos")).alias("seq"), "db", "key", "value")
-    out = set_(ks, flat, as_of)
+    out = set_(ks, batch, as_of, order=("seq", "pos"))
     return Outcome(out.keyspace, batch.select("seq", "db").distinct().withColumn("reply_bytes", F.lit(b"OK")))
 
 
 def msetnx(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:
-    """MSETNX of commands whose keys do not overlap: ``batch`` has a row for each key and value. A command writes all of
-    its keys, reply_int 1, or if one exists none, reply_int 0."""
-    rows = with_entries(ks, batch, as_of)
-    verdict = rows.groupBy("seq", "db").agg((F.count("old_found") == 0).alias("applied"))
-    new = rows.join(verdict, ["seq", "db"]).where("applied").groupBy("db", "key").agg(F.max_by("value", F.struct("seq", "pos")).alias("value"))
-    return Outcome(upsert(ks, fresh(new, "value", F.lit(0), as_of)), verdict.select("seq", "db", F.col("applied").cast("long").alias("reply_int")))
+    """MSETNX: ``batch`` has a row for each key and value. A command writes all of its keys, reply_int 1, or if one exists
+    none, reply_int 0. Commands that share a key follow each other."""
+
+    def alone(batch: DataFrame) -> Outcome:
+        rows = with_entries(ks, batch, as_of)
+        verdict = rows.groupBy("seq", "db").agg((F.count("old_found") == 0).alias("applied"))
+        new = one_per_key(rows.join(verdict, ["seq", "db"]).where("applied"), F.desc("seq"), F.desc("pos"))
+        return Outcome(upsert(ks, fresh(new, "value", F.lit(0), as_of)), verdict.select("seq", "db", F.col("applied").cast("long").alias("reply_int")))
+
+    log = batch.select("seq", "db", "key", F.lit("MSETNX").alias("op"), F.col("value").alias("arg"), F.lit(None).cast("string").alias("dst"))
+    return across_keys(ks, batch, log, as_of, alone, ["seq", "db", "reply_int"])
 
 
 def delete(ks: DataFrame, batch: DataFrame, as_of: int, include_expired: bool = False) -> Outcome:
@@ -144,9 +168,11 @@ def getex(ks: DataFrame, batch: DataFrame, as_of: int, *, ex: int | None = None,
         at = absolute_expiry("getex", as_of, ex, px, exat, pxat)
     except CommandError as e:
         error = str(e)
-    rows = with_entries(ks, batch, as_of)
-    found = F.col("old_found").isNotNull()
-    replies = rows.select("seq", "db", "key", (F.lit(None).cast("binary") if error else F.col("old_value")).alias("reply_bytes"), (F.when(found, F.lit(error)) if error else F.lit(None).cast("string")).alias("error"))
+    rows = with_entries(ks, batch, as_of).withColumn("nth", F.row_number().over(by_key()))
+    unseen = at is not None and 0 < at < as_of  # the next command on the key does not see it
+    found = F.col("old_found").isNotNull() & (F.col("nth") == 1 if unseen else F.lit(True))
+    value = F.lit(None).cast("binary") if error else F.when(found, F.col("old_value"))
+    replies = rows.select("seq", "db", "key", value.alias("reply_bytes"), (F.when(found, F.lit(error)) if error else F.lit(None).cast("string")).alias("error"))
     if error or not (persist or at):
         return Outcome(ks, replies)
     named = batch.select("db", "key").distinct().withColumn("named", F.lit(True))
@@ -179,36 +205,71 @@ def setrange(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:
     return Outcome(upsert(ks, fresh(steps, done, F.lit(0), as_of)), replies)
 
 
+def across_keys(ks: DataFrame, batch: DataFrame, log: DataFrame, as_of: int, alone: Callable[[DataFrame], Outcome], reply: list[str]) -> Outcome:
+    """A batch of commands on several keys. Those that share no key with another command are done side by side by
+    ``alone``; the others follow each other by seq, dealt by the keys that they tie together.
+
+    ``log`` has seq, db, key, op, arg and dst of the batch's rows; seq tells commands apart.
+    """
+    from .fold import replay
+
+    names = log.select("seq", "db", "key").union(log.where("dst is not null").select("seq", "db", F.col("dst"))).distinct()
+    tied = names.groupBy("db", "key").agg(F.count("*").alias("n")).where("n > 1")
+    late = names.join(tied, ["db", "key"], "left_semi").select("seq", "db").distinct()
+    if not late.limit(1).count():
+        return alone(batch)
+    side = alone(batch.join(late, ["seq", "db"], "left_anti"))
+    rows = log.join(late, ["seq", "db"], "left_semi")
+    opts = F.when(F.col("dst").isNotNull(), F.create_map(F.lit("dst"), F.col("dst"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = rows.select("seq", F.lit(as_of).cast("long").alias("ts_ms"), "db", F.split("op", " ")[0].alias("op"), "key", "arg", F.lit(None).cast("string").alias("num"), F.lit(None).cast("long").alias("ttl_ms"), F.when(F.col("op").endswith(" REPLACE"), F.map_concat(opts, F.create_map(F.lit("REPLACE"), F.lit("1")))).otherwise(opts).alias("opts"))
+    mine = names.join(late, ["seq", "db"], "left_semi").select("db", "key").distinct()
+    done = replay(ks.join(mine, ["db", "key"], "left_semi"), rows)
+    told = done.replies.withColumn("dst", F.col("dst"))
+    return Outcome(upsert(side.keyspace, done.keyspace, mine), side.replies.select(*reply).unionByName(told.select(*reply)))
+
+
+def _taken(ks: DataFrame, batch: DataFrame, as_of: int) -> DataFrame:
+    """(db, dst, taken) of the destinations that a batch names and that have an entry."""
+    entries = live(ks, as_of).select("db", F.col("key").alias("dst"), F.lit(True).alias("taken"))
+    return entries.join(batch.select("db", "dst"), ["db", "dst"], "left_semi")
+
+
 def copy(ks: DataFrame, batch: DataFrame, as_of: int, replace: bool = False) -> Outcome:
-    """COPY of commands whose keys do not overlap: ``batch`` has key (from) and dst. reply_int is 1 if copied; the copy has no expiry."""
-    rows = with_entries(ks, batch, as_of)
-    taken = live(ks, as_of).select("db", F.col("key").alias("dst"), F.lit(True).alias("taken"))
-    rows = rows.join(taken, ["db", "dst"], "left")
-    ok = F.col("old_found").isNotNull() & (F.lit(replace) | F.col("taken").isNull())
-    rows = rows.withColumn("applied", ok)
-    new = rows.where("applied").groupBy("db", F.col("dst").alias("key")).agg(F.max_by("old_value", "seq").alias("value"))
-    return Outcome(upsert(ks, fresh(new, "value", F.lit(0), as_of)), rows.select("seq", "db", "key", "dst", F.col("applied").cast("long").alias("reply_int")))
+    """COPY: ``batch`` has key (from) and dst. reply_int is 1 if copied; the copy has no expiry. Commands that share a key
+    follow each other."""
+
+    def alone(batch: DataFrame) -> Outcome:
+        rows = with_entries(ks, batch, as_of).join(_taken(ks, batch, as_of), ["db", "dst"], "left")
+        rows = rows.withColumn("applied", F.col("old_found").isNotNull() & (F.lit(replace) | F.col("taken").isNull()))
+        new = rows.where("applied").select("db", F.col("dst").alias("key"), F.col("old_value").alias("value"))
+        return Outcome(upsert(ks, fresh(new, "value", F.lit(0), as_of)), rows.select("seq", "db", "key", "dst", F.col("applied").cast("long").alias("reply_int")))
+
+    log = batch.select("seq", "db", "key", F.lit("COPY REPLACE" if replace else "COPY").alias("op"), F.lit(None).cast("binary").alias("arg"), "dst")
+    return across_keys(ks, batch, log, as_of, alone, ["seq", "db", "key", "dst", "reply_int"])
 
 
 def rename(ks: DataFrame, batch: DataFrame, as_of: int, if_new: bool = False) -> Outcome:
-    """RENAME, and with ``if_new`` RENAMENX, of commands whose keys do not overlap: ``batch`` has key (from) and dst.
+    """RENAME, and with ``if_new`` RENAMENX: ``batch`` has key (from) and dst. Commands that share a key follow each other.
 
     The entry moves as it is, with its expiry. A missing source is an error, except that a name that stays the same is
     answered (OK or 0) before anything is looked up.
     """
-    same = F.col("key") == F.col("dst")
-    rows = with_entries(ks, batch, as_of)
-    taken = live(ks, as_of).select("db", F.col("key").alias("dst"), F.lit(True).alias("taken"))
-    rows = rows.join(taken, ["db", "dst"], "left")
-    found = F.col("old_found").isNotNull()
-    free = F.col("taken").isNull() if if_new else F.lit(True)
-    rows = rows.withColumn("applied", ~same & found & free)
-    moves = rows.where("applied").select("db", "key", "dst")
-    moved = live(ks, as_of).join(moves, ["db", "key"]).select("db", F.col("dst").alias("key"), *COLUMNS[2:])
-    error = F.when(~same & ~found, "ERR no such key").alias("error")
-    flag = F.when(same, 0).otherwise(F.col("applied").cast("long")) if if_new else None
-    reply = [flag.alias("reply_int")] if if_new else [F.when(same | F.col("applied"), F.lit(b"OK")).alias("reply_bytes")]
-    return Outcome(upsert(ks, moved, moves.select("db", "key")), rows.select("seq", "db", "key", "dst", *reply, error))
+
+    def alone(batch: DataFrame) -> Outcome:
+        same = F.col("key") == F.col("dst")
+        rows = with_entries(ks, batch, as_of).join(_taken(ks, batch, as_of), ["db", "dst"], "left")
+        found = F.col("old_found").isNotNull()
+        free = F.col("taken").isNull() if if_new else F.lit(True)
+        rows = rows.withColumn("applied", ~same & found & free)
+        moves = rows.where("applied").select("db", "key", "dst")
+        moved = live(ks, as_of).join(moves, ["db", "key"]).select("db", F.col("dst").alias("key"), *COLUMNS[2:])
+        error = F.when(~same & ~found, "ERR no such key").alias("error")
+        flag = F.when(same, 0).when(found, F.col("applied").cast("long")) if if_new else None
+        reply = [flag.cast("long").alias("reply_int")] if if_new else [F.when(same | F.col("applied"), F.lit(b"OK")).alias("reply_bytes")]
+        return Outcome(upsert(ks, moved, moves.select("db", "key")), rows.select("seq", "db", "key", "dst", *reply, error))
+
+    log = batch.select("seq", "db", "key", F.lit("RENAMENX" if if_new else "RENAME").alias("op"), F.lit(None).cast("binary").alias("arg"), "dst")
+    return across_keys(ks, batch, log, as_of, alone, ["seq", "db", "key", "dst", "reply_int" if if_new else "reply_bytes", "error"])
 
 
 def renamenx(ks: DataFrame, batch: DataFrame, as_of: int) -> Outcome:

@@ -15,7 +15,8 @@ from ..operators import counters, eviction, expiry, numeric, reads, scans, write
 from ..operators.keyspace import keyspace
 from ..sources import rdb, resp, snapshot
 from ..sources.staging import shared_folder
-from . import machine, replay
+from ..operators import machine
+from . import replay
 
 #: The moment at which time-dependent queries look, 2024-01-15 00:00 UTC in epoch ms.
 AS_OF = 1_705_276_800_000

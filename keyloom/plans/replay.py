@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import writes
-from ..operators.keyspace import SCHEMA, CommandError, Outcome
-from ..sources.staging import stage
-from .machine import REPLY_SCHEMA, Entry, step
+from ..operators.fold import answers, fold, replay
 
-#: Commands that name several keys; a replay is cut at each.
-CROSS_KEY = ("RENAME", "RENAMENX", "COPY", "MSETNX", "FLUSHDB")
+__all__ = ["answers", "append_state", "counter_replies", "counter_state", "fold", "last_write_state", "replay"]
 
 
 def last_write_state(log: DataFrame) -> DataFrame:
@@ -52,92 +45,3 @@ def append_state(log: DataFrame) -> DataFrame:
     parts = log.where("op = 'APPEND'").join(reset, ["db", "key"], "left").where("at is null or seq > at")
     gathered = parts.groupBy("db", "key").agg(F.array_sort(F.collect_list(F.struct("seq", "arg"))).alias("parts"))
     return gathered.select("db", "key", F.aggregate("parts", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["arg"])).alias("value"))
-
-
-def fold(ks: DataFrame, log: DataFrame) -> Outcome:
-    """Any commands on single keys, each key's in the order of seq (LOG_SCHEMA); the keyspace after them, and the replies.
-
-    Rows of a key are dealt to one task, sorted and read in passing: what is held is one entry, however long its history.
-    Commands on one key are sequential by nature; different keys run side by side.
-    """
-    entries = ks.select("db", "key", F.lit(-(2**63)).alias("seq"), F.lit(0).cast("long").alias("ts_ms"), F.lit("").alias("op"), F.col("value").alias("arg"), F.lit(None).cast("string").alias("num"), F.col("expiry_ms").alias("ttl_ms"), F.create_map().cast("map<string,string>").alias("opts"), F.struct("created_ms", "last_access_ms", "accesses").alias("times"))
-    rows = log.select("db", "key", "seq", "ts_ms", "op", "arg", "num", "ttl_ms", "opts", F.lit(None).cast("struct<created_ms:long,last_access_ms:long,accesses:long>").alias("times"))
-    dealt = entries.unionByName(rows).repartition("db", "key").sortWithinPartitions("db", "key", "seq")
-    schema = f"kind int, {REPLY_SCHEMA}, {', '.join(c for c in SCHEMA.split(', ') if c.split()[0] not in ('db', 'key'))}"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, entry = None, None
-        names = [c.split()[0] for c in schema.split(", ")]
-        types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-        kinds = [types[c.split()[1]] for c in schema.split(", ")]
-        out: list[tuple] = []
-
-        def close() -> None:
-            if entry is not None:
-                out.append((1, None, here[0], here[1], None, None, None, entry.value, entry.expiry_ms, entry.created_ms, entry.last_access_ms, entry.accesses))
-
-        def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
-            out.clear()
-            return made
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if (r["db"], r["key"]) != here:
-                    close()
-                    here, entry = (r["db"], r["key"]), None
-                if r["op"] == "":
-                    entry = Entry(r["arg"], r["ttl_ms"], *r["times"].values())
-                else:
-                    entry, reply = step(entry, r["op"], r["ts_ms"], r["arg"], r["num"], r["ttl_ms"], dict(r["opts"] or ()))
-                    out.append((0, r["seq"], *here, *reply, None, None, None, None, None))
-            yield batch_of()
-        close()
-        yield batch_of()
-
-    done = dealt.mapInArrow(run, schema)
-    return Outcome(done.where("kind = 1").select(*[c.split()[0] for c in SCHEMA.split(", ")]), done.where("kind = 0").select(*[c.split()[0] for c in REPLY_SCHEMA.split(", ")]))
-
-
-def replay(ks: DataFrame, log: DataFrame, max_barriers: int = 100) -> Outcome:
-    """Any commands. A command that names several keys (CROSS_KEY) splits the log: what comes before it is folded first.
-
-    Each such command costs a pass, so a log with more than ``max_barriers`` of them is refused. Its other key is in
-    opts['dst']; a MSETNX is one row for each of its keys, with equal seq.
-    """
-    crossing = log.where(F.col("op").isin(*CROSS_KEY))
-    cuts = [r["seq"] for r in crossing.select("seq").distinct().orderBy("seq").limit(max_barriers + 1).collect()]
-    if len(cuts) > max_barriers:
-        raise CommandError(f"the log has more than {max_barriers} commands on several keys")
-    replies, low = None, None
-    single = log.where(~F.col("op").isin(*CROSS_KEY))
-    for cut in [*cuts, None]:
-        part = single if low is None else single.where(F.col("seq") > low)
-        part = part if cut is None else part.where(F.col("seq") < cut)
-        done = fold(ks, part)
-        if cut is None:
-            ks, more = done.keyspace, [done.replies]
-        else:
-            # what follows reads the keyspace several times
-            ks, more = stage(done.keyspace, "replay"), [done.replies]
-            rows = crossing.where(F.col("seq") == cut)
-            one = rows.first()
-            if one["op"] == "FLUSHDB":
-                ks = writes.flushdb(ks, one["db"], one["ts_ms"])
-                more.append(rows.select("seq", "db", "key", F.lit(b"OK").alias("reply_bytes"), F.lit(None).cast("long").alias("reply_int"), F.lit(None).cast("string").alias("error")))
-            else:
-                batch = rows.select("seq", "db", "key", F.col("arg").alias("value"), F.col("opts")["dst"].alias("dst"), F.monotonically_increasing_id().alias("pos"))
-                now = one["ts_ms"]
-                if one["op"] == "MSETNX":
-                    done = writes.msetnx(ks, batch, now)
-                elif one["op"] == "COPY":
-                    done = writes.copy(ks, batch, now, "REPLACE" in (one["opts"] or {}))
-                else:
-                    done = writes.rename(ks, batch, now, one["op"] == "RENAMENX")
-                ks, r = stage(done.keyspace, "replay"), done.replies
-                blank = {"key": "string", "reply_bytes": "binary", "reply_int": "long", "error": "string"}
-                more.append(r.select("seq", "db", *[(F.col(c) if c in r.columns else F.lit(None)).cast(t).alias(c) for c, t in blank.items()]))
-        for m in more:
-            replies = m if replies is None else replies.unionByName(m)
-        low = cut
-    return Outcome(ks, replies)

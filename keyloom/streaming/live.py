@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.machine import REPLY_SCHEMA, Entry, step
+from ..operators.machine import REPLY_SCHEMA, Entry, step
 
 _STATE = "value binary, expiry_ms long, created_ms long, last_access_ms long, accesses long"
 

@@ -1,10 +1,12 @@
 """Golden cases of the commands, as small batches."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import values as V
-from keyloom.operators import eviction, expiry, numeric, reads, scans, settings, writes
+from keyloom.operators import eviction, expiry, machine, numeric, reads, scans, settings, writes
 from keyloom.operators.keyspace import SCHEMA, CommandError, check_keys, keyspace, live, select_db
 
 NOW = 1_000_000
@@ -230,3 +232,95 @@ def test_limits_and_settings(spark):
     got = settings.config_get(spark, settings.Settings(), "databases", "none")
     assert [tuple(r) for r in got.collect()] == [("databases", "16")]
     assert live(ks(spark, ("a", b"", NOW)), NOW).count() == 1
+
+
+def in_turn(entries, commands):
+    """Commands (op, key, arg, num, ttl, opts) on entries one after the other, as the machine does them."""
+    state = {(0, k): machine.Entry(v, e, 1, 1, 0) for k, v, e in entries}
+    told = []
+    for op, key, arg, num, ttl, opts in commands:
+        if op in ("RENAME", "RENAMENX", "COPY"):
+            told.append(machine.cross(state, op, 0, [(key, None), (opts["dst"], None)], NOW, opts))
+            continue
+        e, reply = machine.step(state.get((0, key)), op, NOW, arg, num, ttl, opts)
+        state.pop((0, key), None)
+        if e is not None:
+            state[0, key] = e
+        told.append(reply)
+    return {k[1]: (e.value, e.expiry_ms) for k, e in state.items()}, told
+
+
+def same(outcome, entries, commands, *columns):
+    want, told = in_turn(entries, commands)
+    got = state(outcome.keyspace)
+    alive = lambda s: {k: v for k, v in s.items() if not v[1] or v[1] >= NOW}
+    assert alive(got) == alive(want)
+    replies = {r["seq"]: r for r in outcome.replies.collect()}
+    for seq, reply in enumerate(told):
+        for c in columns:
+            value = replies[seq][c]
+            assert (bytes(value) if isinstance(value, bytearray) else value) == getattr(reply, c), (seq, c, commands[seq])
+
+
+def crowd(rnd, n=40, keys=7):
+    return [(f"k{i}", rnd.choice([b"5", b"x", b"", b"9223372036854775800", b"-9223372036854775800"]), rnd.choice([0, 0, NOW + rnd.randrange(1, 9000), NOW - 5])) for i in range(keys - 2)], [f"k{rnd.randrange(keys)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("condition", [None, "NX", "XX", "GT", "LT"])
+def test_expiry_of_recurring_keys(spark, condition):
+    rnd = random.Random(hash(condition) % 7)
+    for f, op, unit in ((expiry.expire, "EXPIRE", 1), (expiry.pexpireat, "PEXPIREAT", 0)):
+        entries, keys = crowd(rnd, 60, 12)
+        amounts = [rnd.choice([0, -1, *range(1, 9)]) if unit else rnd.choice([0, NOW - 3, *range(NOW, NOW + 9000, 900)]) for _ in keys]
+        b = batch(spark, "key string, amount long", *zip(keys, amounts, strict=True))
+        same(f(ks(spark, *entries), b, NOW, condition), entries, [(op, k, None, str(a), None, {condition: "1"} if condition else {}) for k, a in zip(keys, amounts, strict=True)], "reply_int")
+
+
+def test_counters_go_on_after_an_overflow(spark):
+    rnd = random.Random(1)
+    entries, keys = crowd(rnd, 60, 9)
+    steps = [rnd.choice([1, -5, 9, 2**62, -(2**62), 2**63 - 1, -(2**63)]) for _ in keys]
+    b = batch(spark, "key string, num long", *zip(keys, steps, strict=True))
+    same(numeric.incrby(ks(spark, *entries), b, NOW), entries, [("INCRBY", k, None, str(n), None, {}) for k, n in zip(keys, steps, strict=True)], "reply_int", "error")
+    same(numeric.decrby(ks(spark, *entries), b, NOW), entries, [("DECRBY", k, None, str(n), None, {}) for k, n in zip(keys, steps, strict=True)], "reply_int", "error")
+
+
+@pytest.mark.parametrize("op,extra", [("RENAME", {}), ("RENAMENX", {}), ("COPY", {}), ("COPY", {"REPLACE": "1"})])
+def test_moves_between_recurring_keys(spark, op, extra):
+    rnd = random.Random(2)
+    entries, keys = crowd(rnd, 24, 16)
+    to = [f"k{rnd.randrange(16)}" for _ in keys] + ["lone"]
+    keys = keys + ["k0"]
+    b = batch(spark, "key string, dst string", *zip(keys, to, strict=True))
+    f = {"RENAME": writes.rename, "RENAMENX": writes.renamenx, "COPY": lambda *a: writes.copy(*a, replace=bool(extra))}[op]
+    same(f(ks(spark, *entries), b, NOW), entries, [(op, k, None, None, None, {"dst": d, **extra}) for k, d in zip(keys, to, strict=True)], "reply_bytes" if op == "RENAME" else "reply_int", *(["error"] if op != "COPY" else []))
+    assert state(writes.rename(ks(spark, ("a", b"1", 0)), batch(spark, "key string, dst string", ("a", "b"), ("b", "c")), NOW).keyspace) == {"c": (b"1", 0)}
+
+
+def test_msetnx_of_shared_keys(spark):
+    rows = spark.createDataFrame([(0, 0, 0, "a", b"1"), (1, 0, 0, "a", b"2"), (1, 0, 1, "b", b"2"), (2, 0, 0, "c", b"3"), (3, 0, 0, "b", b"4"), (3, 0, 1, "b", b"5")], "seq long, db int, pos int, key string, value binary")
+    after, replies = writes.msetnx(ks(spark), rows, NOW)
+    assert one(replies) == [1, 0, 1, 1] and {k: v for k, (v, _) in state(after).items()} == {"a": b"1", "b": b"5", "c": b"3"}
+
+
+def test_mset_takes_the_last_of_very_many(spark):
+    rows = spark.createDataFrame([(1, 0, 1_000_001, "a", b"early"), (2, 0, 0, "a", b"late"), (2, 0, 1, "b", b"1"), (2, 0, 2, "b", b"2")], "seq long, db int, pos int, key string, value binary")
+    assert {k: v for k, (v, _) in state(writes.mset(ks(spark), rows, NOW).keyspace).items()} == {"a": b"late", "b": b"2"}
+
+
+@pytest.mark.parametrize("op,kwargs,opts", [("SET", {"condition": "NX"}, {"NX": "1"}), ("SET", {"condition": "XX", "keepttl": True}, {"XX": "1", "KEEPTTL": "1"}), ("SET", {"get": True}, {"GET": "1"}), ("SET", {"condition": "NX", "pxat": 5}, {"NX": "1", "PXAT": "5"}), ("SET", {"condition": "XX", "pxat": 5}, {"XX": "1", "PXAT": "5"}), ("SET", {"get": True, "pxat": 5}, {"GET": "1", "PXAT": "5"}), ("GETEX", {"pxat": 5}, {"PXAT": "5"}), ("GETEX", {"persist": True}, {"PERSIST": "1"}), ("GETDEL", {}, {}), ("APPEND", {}, {}), ("PERSIST", {}, {})])
+def test_other_writes_of_recurring_keys(spark, op, kwargs, opts):
+    entries, keys = crowd(random.Random(5), 30, 9)
+    b = batch(spark, "key string, value binary", *[(k, b"v%d" % i) for i, k in enumerate(keys)])
+    f = {"SET": writes.set_, "GETEX": writes.getex, "GETDEL": writes.getdel, "APPEND": writes.append, "PERSIST": expiry.persist}[op]
+    same(f(ks(spark, *entries), b, NOW, **kwargs), entries, [(op, k, b"v%d" % i, None, None, opts) for i, k in enumerate(keys)], "reply_int" if op in ("APPEND", "PERSIST") else "reply_bytes")
+
+
+def test_a_small_batch_does_not_shuffle_the_keyspace(spark, tmp_path):
+    ks(spark, *[(f"k{i}", b"v", 0) for i in range(1000)]).write.parquet(f"{tmp_path}/ks")
+    stored = spark.read.parquet(f"{tmp_path}/ks")
+    batch(spark, "key string, value binary", ("k1", b"x"), ("new", b"y")).write.parquet(f"{tmp_path}/batch")
+    for condition in ("NX", "XX"):
+        plan = writes.set_(stored, spark.read.parquet(f"{tmp_path}/batch"), NOW, condition=condition).keyspace
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in text and "SortMergeJoin" not in text and "BroadcastHashJoin" in text

@@ -7,7 +7,8 @@ from helpers import ROOT
 from pyspark.sql import functions as F
 
 from keyloom.operators.keyspace import SCHEMA, CommandError
-from keyloom.plans import machine, replay
+from keyloom.operators import machine
+from keyloom.plans import replay
 from keyloom.plans.binder import bind, integer
 from keyloom.streaming.live import command_rates, replies
 
@@ -59,15 +60,84 @@ def test_fold_goes_on_from_a_keyspace(spark):
     assert {(r["db"], r["key"]): bytes(r["value"]) for r in done.keyspace.collect()} == {k: e[0] for k, e in by_hand(log)[0].items()}
 
 
-def test_commands_on_several_keys_cut_the_log(spark):
+def test_commands_on_several_keys(spark):
     requests = [(b"SET a 1"), (b"SET b 2"), (b"RENAME a c"), (b"INCR c"), (b"COPY c d"), (b"MSETNX d 9 e 9"), (b"MSETNX f 5 g 6"), (b"SET d 7"), (b"RENAME none x"), (b"FLUSHDB"), (b"SET z 1")]
     log = [tuple(r.values()) for i, q in enumerate(requests) for r in bind(q.split()[0].decode(), q.split()[1:], i, 1000 + i)]
     done = replay.replay(spark.createDataFrame([], SCHEMA), spark.createDataFrame(log, machine.LOG_SCHEMA))
     got = answers_of(done.replies)
     assert got[2][0] == b"OK" and got[3][1] == 2 and got[4][1] == 1 and got[5][1] == 0 and got[6][1] == 1 and got[8][2] == "ERR no such key"
     assert {r["key"] for r in done.keyspace.collect()} == {"z"}
-    with pytest.raises(CommandError):
-        replay.replay(spark.createDataFrame([], SCHEMA), spark.createDataFrame(log, machine.LOG_SCHEMA), max_barriers=2)
+
+
+def cross_log(n, seed, keys=12, dbs=2):
+    rnd = random.Random(seed)
+    out = []
+    for seq, row in enumerate(random_log(n, seed, keys)):
+        kind = rnd.random()
+        now, db, key = row[1], row[2] % dbs, row[4]
+        if kind < 0.3:
+            op = rnd.choice(["RENAME", "RENAMENX", "COPY"])
+            opts = {"dst": f"k{rnd.randrange(keys)}"} | ({"REPLACE": "1"} if op == "COPY" and rnd.random() < 0.5 else {})
+            out.append((seq, now, db, op, key, None, None, None, opts))
+        elif kind < 0.4:
+            out += [(seq, now, db, "MSETNX", f"k{rnd.randrange(keys)}", b"m%d" % p, None, None, {"pos": str(p)}) for p in range(3)]
+        elif kind < 0.43:
+            out.append((seq, now, db, "FLUSHDB", "*", None, None, None, {}))
+        else:
+            out.append((seq, now, db, *row[3:]))
+    return out
+
+
+def by_hand_across(log):
+    state, answers = {}, {}
+    several = {}
+    for r in log:
+        if r[3] == "MSETNX":
+            several.setdefault(r[0], []).append((r[4], r[5]))
+    for seq, now, db, op, key, arg, num, ttl, opts in log:
+        if op == "FLUSHDB":
+            state = {k: e for k, e in state.items() if k[0] != db}
+        elif op == "MSETNX":
+            if seq not in answers:
+                answers[seq] = tuple(machine.cross(state, op, db, several[seq], now, {}))
+        elif op in ("RENAME", "RENAMENX", "COPY"):
+            answers[seq] = tuple(machine.cross(state, op, db, [(key, None), (opts["dst"], None)], now, opts))
+        else:
+            e, reply = machine.step(state.get((db, key)), op, now, arg, num, ttl, opts)
+            answers[seq] = tuple(reply)
+            state.pop((db, key), None)
+            if e is not None:
+                state[db, key] = e
+    return {k: tuple(e) for k, e in state.items()}, answers
+
+
+@pytest.mark.parametrize("seed,keys", [(1, 12), (2, 200)])
+def test_replay_of_commands_on_several_keys(spark, seed, keys):
+    log = cross_log(700, seed, keys)
+    before = [(0, f"k{i}", b"old", 0, 1, 1, 0) for i in range(5)] + [(1, "other", b"x", 0, 1, 1, 0), (3, "far", b"y", 0, 1, 1, 0)]
+    state, told = by_hand_across([(-1 - i, 0, r[0], "SET", r[1], r[2], None, None, {}) for i, r in enumerate(before)] + log)
+    done = replay.replay(spark.createDataFrame(before, SCHEMA), spark.createDataFrame(log, machine.LOG_SCHEMA))
+    got = {(r["db"], r["key"]): (bytes(r["value"]), r["expiry_ms"]) for r in done.keyspace.collect()}
+    assert got == {k: e[:2] for k, e in state.items()}
+    assert answers_of(done.replies) == {s: a for s, a in told.items() if s >= 0}
+
+
+def test_ten_thousand_renames(spark):
+    rnd = random.Random(3)
+    log = [(i, 1000 + i, 0, "SET" if i % 3 == 0 else "RENAME", f"k{rnd.randrange(3000)}", b"%d" % i, None, None, {} if i % 3 == 0 else {"dst": f"k{rnd.randrange(3000)}"}) for i in range(15_000)]
+    state, told = by_hand_across(log)
+    done = replay.replay(spark.createDataFrame([], SCHEMA), spark.createDataFrame(log, machine.LOG_SCHEMA))
+    assert {(r["db"], r["key"]): bytes(r["value"]) for r in done.keyspace.collect()} == {k: e[0] for k, e in state.items()}
+    assert answers_of(done.replies) == told
+
+
+def test_one_answer_for_each_command(spark):
+    requests = [b"MSET a 1 b 2 a 3", b"MGET b none a b", b"EXISTS a a none", b"DEL a a b", b"GET a"]
+    log = [tuple(r.values()) for i, q in enumerate(requests) for r in bind(q.split()[0].decode(), q.split()[1:], i, 1000 + i)]
+    done = replay.answers(replay.replay(spark.createDataFrame([], SCHEMA), spark.createDataFrame(log, machine.LOG_SCHEMA)).replies)
+    got = {r["seq"]: r for r in done.collect()}
+    assert len(got) == 5 == done.count() and bytes(got[0]["reply_bytes"]) == b"OK" and (got[2]["reply_int"], got[3]["reply_int"]) == (2, 2)
+    assert [x and bytes(x) for x in got[1]["reply_list"]] == [b"2", None, b"3", b"2"] and got[4]["reply_bytes"] is None
 
 
 def test_stream_answers_as_the_batch_does(spark, tmp_path):
