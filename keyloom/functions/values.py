@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -139,22 +141,60 @@ def glob_match(key: Column, pattern: str, compat: bool = False) -> Column:
     return key.startswith(prefix) & test if prefix else test
 
 
+#: A row of the table of common subsequences is kept for each so many bytes of the first string; those between are made again.
+KEPT_ROWS = 256
+
+
+def _rows(v: int, part: bytes, masks: dict[int, int], whole: int) -> Iterator[int]:
+    """Rows of the table after each byte of ``part``, from row ``v`` on: bit j is 0 where the row's length rises at byte j of
+    the second string, so that a row of any width is a few operations on one number."""
+    for c in part:
+        hit = v & masks.get(c, 0)
+        v = ((v + hit) | (v - hit)) & whole
+        yield v
+
+
+def _masks(b: bytes) -> dict[int, int]:
+    """Of each byte: the places where it stands in ``b``, as bits."""
+    out = {}
+    for c in set(b):
+        out[c] = int.from_bytes(np.packbits(np.frombuffer(b, np.uint8) == c, bitorder="little").tobytes(), "little")
+    return out
+
+
+def subsequence_length(a: bytes | None, b: bytes | None) -> int:
+    """Length of the longest common subsequence of two byte strings."""
+    if not a or not b:
+        return 0
+    whole = v = (1 << len(b)) - 1
+    for v in _rows(v, a, _masks(b), whole):
+        pass
+    return len(b) - v.bit_count()
+
+
 def _subsequence(a: bytes | None, b: bytes | None) -> bytes:
-    """The longest common subsequence of two byte strings: row by row over numpy, then back from the end; of two ways the
-    one that leaves the first string's byte is taken only if it is strictly longer."""
+    """The longest common subsequence of two byte strings, read from the end of the table: of two ways the one that leaves
+    the first string's byte is taken only if it is strictly longer. Memory grows with the second string's length."""
     if not a or not b:
         return b""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(1, len(x) + 1):
-        hit = table[i - 1, :-1] + (y == x[i - 1])
-        table[i, 1:] = np.maximum.accumulate(np.maximum(table[i - 1, 1:], hit))
-    out, i, j = bytearray(), len(x), len(y)
+    masks, whole = _masks(b), (1 << len(b)) - 1
+    kept, v = [whole], whole
+    for at in range(0, len(a), KEPT_ROWS):
+        for v in _rows(v, a[at : at + KEPT_ROWS], masks, whole):
+            pass
+        kept.append(v)
+    out, i, j, base = bytearray(), len(a), len(b), len(a) + 1
+    rows: list[int] = []
+    length = lambda v, j: j - (v & ((1 << j) - 1)).bit_count()
     while i and j:
-        if x[i - 1] == y[j - 1]:
-            out.append(int(x[i - 1]))
+        if i - 1 < base:  # rows base to i are needed
+            n = (i - 1) // KEPT_ROWS
+            base = n * KEPT_ROWS
+            rows = [kept[n], *_rows(kept[n], a[base : base + KEPT_ROWS], masks, whole)]
+        if a[i - 1] == b[j - 1]:
+            out.append(a[i - 1])
             i, j = i - 1, j - 1
-        elif table[i - 1, j] > table[i, j - 1]:
+        elif length(rows[i - 1 - base], j) > length(rows[i - base], j - 1):
             i -= 1
         else:
             j -= 1
@@ -162,10 +202,41 @@ def _subsequence(a: bytes | None, b: bytes | None) -> bytes:
 
 
 def common_subsequence(a: Column, b: Column) -> Column:
-    """The longest common subsequence of two values, empty if either is null; its length is its octet_length."""
+    """The longest common subsequence of two values, empty if either is null."""
 
     @F.pandas_udf("binary")
     def lcs(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_subsequence(p, q) for p, q in zip(x, y, strict=True)], dtype=object)
 
     return lcs(a.cast("binary"), b.cast("binary"))
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """The length of the longest common subsequence of two values, 0 if either is null."""
+
+    @F.pandas_udf("long")
+    def lcs(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([subsequence_length(p, q) for p, q in zip(x, y, strict=True)], dtype="int64")
+
+    return lcs(a.cast("binary"), b.cast("binary"))
+
+
+#: Bytes that are not UTF-8 are kept in text keys as these characters, as is every byte of one of these characters.
+_RAW = 0xEF00
+
+
+def key_text(key: bytes) -> str:
+    """A key as text, and different keys as different texts: bytes that are not UTF-8 stand as private characters."""
+    try:
+        text = key.decode()
+        if not any(_RAW + 0x80 <= ord(c) <= _RAW + 0xFF for c in text):
+            return text
+    except UnicodeDecodeError:
+        text = key.decode("utf-8", "surrogateescape")
+    plain = lambda c: "".join(chr(_RAW + x) for x in c.encode()) if _RAW + 0x80 <= ord(c) <= _RAW + 0xFF else chr(_RAW + ord(c) - 0xDC00) if 0xDC80 <= ord(c) <= 0xDCFF else c
+    return "".join(map(plain, text))
+
+
+def key_bytes(text: str) -> bytes:
+    """The key whose text this is."""
+    return b"".join(bytes([ord(c) - _RAW]) if _RAW + 0x80 <= ord(c) <= _RAW + 0xFF else c.encode() for c in text) if any(c >= "\uef80" for c in text) else text.encode()

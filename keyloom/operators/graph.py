@@ -11,24 +11,32 @@ from ..sources.staging import drop_staged, stage
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long): component is the smallest node reachable.
 
-    Each round gives a node the smallest label among its neighbours, then follows labels once (label of the label), so a
-    path shortens by a constant factor. Rows that repeat, edges in either direction and loops are allowed; rows with a
-    null end are ignored. Labels are tables in the shared folder, of which only the last one stays; nothing but a count for
-    each round reaches the driver.
+    Every node has a parent, at first itself. In each round a node learns the smallest grandparent among its neighbours; it
+    takes that for its parent if it is smaller, its old parent does so too, and then each follows its grandparent. So trees
+    hang themselves onto smaller ones and flatten, and the number of rounds grows with the logarithm of the size. Rows that
+    repeat, edges in either direction and loops are allowed; rows with a null end are ignored. Parents are tables in the
+    shared folder, of which only the last one stays; nothing but a count for each round reaches the driver.
     """
     both = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
     both = stage(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    nodes = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("parent"))
+    tree = stage(_grand(nodes.withColumn("changed", F.lit(True))), "parents")
     for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        mine = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = mine.join(jump, mine.label == jump.via, "left").select("node", "old", F.least(F.col("label"), F.coalesce("far", "label")).alias("label"))
-        new = stage(new, "labels")
-        changed = new.where("old <> label").limit(1).count()
-        drop_staged(labels)
-        labels = new
-        if not changed:
+        near = both.join(tree.select(F.col("node").alias("b"), "grand"), "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("near"))
+        step = tree.join(near, "node").select("node", "parent", "grand", "near")
+        hung = step.groupBy(F.col("parent").alias("node")).agg(F.min("near").alias("hung"))
+        step = step.join(hung, "node", "left").withColumn("new", F.least("parent", "grand", "near", F.coalesce("hung", "parent")))
+        new = stage(_grand(step.select("node", F.col("new").alias("parent"), ((F.col("new") != F.col("parent")) | (F.col("grand") != F.col("parent"))).alias("changed"))), "parents")
+        moving = new.where("changed or grand <> parent").limit(1).count()
+        drop_staged(tree)
+        tree = new
+        if not moving:
             drop_staged(both)
-            return labels.select("node", F.col("label").alias("component"))
+            return tree.select("node", F.col("parent").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _grand(tree: DataFrame) -> DataFrame:
+    """(node, parent, changed) with each node's grandparent."""
+    up = tree.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+    return tree.join(up, "parent").select("node", "parent", "grand", "changed")

@@ -52,6 +52,11 @@ def live(ks: DataFrame, as_of: int | Column, include_expired: bool = False) -> D
     return ks.where((F.col("expiry_ms") == 0) | (now <= F.col("expiry_ms")))
 
 
+def seeded(seed: int) -> Column:
+    """An order of keys as good as random, the same for the same seed."""
+    return F.md5(F.concat("key", F.lit(f":{seed}")))
+
+
 def upsert(ks: DataFrame, new: DataFrame, gone: DataFrame | None = None) -> DataFrame:
     """``ks`` with the entries ``new`` (unique keys) instead of its own, and without the keys ``gone``.
 

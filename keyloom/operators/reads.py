@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import byte_slice, common_subsequence
-from .keyspace import live
+from ..functions.values import byte_slice, common_length, common_subsequence
+from .keyspace import live, seeded
 
 
 def _found(ks: DataFrame, batch: DataFrame, as_of: int, include_expired: bool = False) -> DataFrame:
     """Each row of the batch, in whatever number, with the entry of its key or nulls."""
-    entries = live(ks, as_of, include_expired).select("db", "key", "value", "expiry_ms", F.lit(True).alias("found"))
+    entries = live(ks, as_of, include_expired).join(batch.select("db", "key"), ["db", "key"], "left_semi").select("db", "key", "value", "expiry_ms", F.lit(True).alias("found"))
     return batch.join(entries, ["db", "key"], "left")
 
 
@@ -58,12 +58,17 @@ def getrange(ks: DataFrame, batch: DataFrame, as_of: int) -> DataFrame:
 substr = getrange
 
 
-def lcs(ks: DataFrame, batch: DataFrame, as_of: int) -> DataFrame:
-    """LCS: ``batch`` has seq, db, key and key2; (seq, db, key, key2, reply_bytes, reply_int): subsequence and its length."""
+def lcs(ks: DataFrame, batch: DataFrame, as_of: int, length_only: bool = False) -> DataFrame:
+    """LCS: ``batch`` has seq, db, key and key2; (seq, db, key, key2, reply_bytes, reply_int): subsequence and its length.
+
+    With ``length_only`` (LEN) the subsequence is not made and reply_bytes is null."""
     entries = live(ks, as_of)
     a = entries.select("db", "key", F.col("value").alias("a"))
     b = entries.select("db", F.col("key").alias("key2"), F.col("value").alias("b"))
-    out = batch.join(a, ["db", "key"], "left").join(b, ["db", "key2"], "left").select("seq", "db", "key", "key2", common_subsequence(F.col("a"), F.col("b")).alias("reply_bytes"))
+    both = batch.join(a, ["db", "key"], "left").join(b, ["db", "key2"], "left")
+    if length_only:
+        return both.select("seq", "db", "key", "key2", F.lit(None).cast("binary").alias("reply_bytes"), common_length(F.col("a"), F.col("b")).alias("reply_int"))
+    out = both.select("seq", "db", "key", "key2", common_subsequence(F.col("a"), F.col("b")).alias("reply_bytes"))
     return out.withColumn("reply_int", F.octet_length("reply_bytes").cast("long"))
 
 
@@ -74,5 +79,5 @@ def dbsize(ks: DataFrame, as_of: int, include_expired: bool = False) -> DataFram
 
 def randomkey(ks: DataFrame, db: int, as_of: int, seed: int = 0) -> DataFrame:
     """RANDOMKEY: one key of the database, the same for the same seed; no row if it is empty."""
-    rank = F.xxhash64("key", F.lit(seed))
+    rank = seeded(seed)
     return live(ks, as_of).where(F.col("db") == db).agg(F.min_by("key", F.struct(rank, "key")).alias("key")).where("key is not null")

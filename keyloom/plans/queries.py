@@ -151,12 +151,31 @@ def lcs_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.lcs(ks, batch, AS_OF).select("key", "key2", "reply_int", F.sha2("reply_bytes", 256).alias("sha256"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT 'r' || x.n_nationkey || ':' || r_regionkey AS seq, x.n_name AS a, r_name AS b FROM nation x, region),
+t AS (SELECT seq, a, b, 0 AS i, list_transform(range(len(b)), lambda j: 0) AS line FROM p
+  UNION ALL SELECT seq, a, b, i + 1, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(line[k], (CASE WHEN k > 1 THEN line[k - 1] ELSE 0 END) + (CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN 1 ELSE 0 END))))) FROM t WHERE i < len(a))
+SELECT seq AS key, CAST(line[len(b)] AS BIGINT) AS reply_int FROM t WHERE i = len(a)""")
+def lcs_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LCS LEN of each nation's and each region's name."""
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    ks = keyspace(n, 0, _key("n", "n_nationkey"), as_bytes(F.col("n_name"))).union(keyspace(r, 0, _key("r", "r_regionkey"), as_bytes(F.col("r_name"))))
+    pairs = n.select("n_nationkey", F.explode(F.array(*[F.lit(i) for i in range(5)])).alias("r")).select(F.lit(1).alias("seq"), F.lit(0).alias("db"), _key("n", "n_nationkey").alias("key"), _key("r", "r").alias("key2"), F.concat(F.lit("r"), F.col("n_nationkey").cast("string"), F.lit(":"), F.col("r").cast("string")).alias("pair"))
+    told = reads.lcs(ks, pairs.drop("pair"), AS_OF, length_only=True)
+    return told.join(pairs.select("key", "key2", "pair"), ["key", "key2"]).select(F.col("pair").alias("key"), "reply_int")
+
+
+@query("SELECT 'doc:' || doc_id AS key, CASE WHEN octet_length(encode(text)) <= 3 THEN '' ELSE substr(hex(encode(text)), 7, 10) END AS part FROM documents")
+def substr_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ks = _docs(spark, sf_dir)
+    return reads.substr(ks, ks.select(F.lit(1).alias("seq"), "db", "key", F.lit(3).alias("start"), F.lit(7).alias("end")), AS_OF).select("key", F.hex("reply_bytes").alias("part"))
+
+
 @query(f"WITH {_ORDERS} SELECT CAST(0 AS INTEGER) AS db, count(*) AS reply_int FROM live HAVING count(*) > 0")
 def dbsize_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.dbsize(_orders(spark, sf_dir), AS_OF)
 
 
-@query()
+@query(f"WITH {_ORDERS} SELECT key FROM live ORDER BY md5(key || ':7'), key LIMIT 1")
 def randomkey_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.randomkey(_orders(spark, sf_dir), 0, AS_OF, seed=7)
 
@@ -185,6 +204,22 @@ def scan_pages_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return before.union(scans.scan(ks, 0, cursor, AS_OF, count=None)).select("key")
 
 
+@query("SELECT DISTINCT url AS key FROM pages WHERE regexp_full_match(url, '.*[02468]', 's')")
+def scan_match_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCAN with MATCH and COUNT over all pages, by cursors, as a client does it; a page is 500 keys."""
+    ks = keyspace(_t(spark, sf_dir, "pages").select("url").distinct(), 0, F.col("url"), F.lit(b""))
+    out, cursor = None, None
+    while True:
+        page = scans.scan(ks, 0, cursor, AS_OF, match="*[02468]", count=500)
+        last = page.agg(F.max_by(F.struct("hash", "key"), F.struct("hash", "key"))).first()[0]
+        if last is None:
+            break
+        cursor = (last["hash"], last["key"])
+        page = page.where("matches").select("key")
+        out = page if out is None else out.union(page)
+    return out if out is not None else ks.select("key").where("false")
+
+
 # Writes
 
 
@@ -228,6 +263,17 @@ def setex_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.setex(_empty(spark), _labels(spark, sf_dir), AS_OF, 90).keyspace.select("key", "expiry_ms")
 
 
+@query(f"SELECT 'order:' || doc_id AS key, CAST({AS_OF} + 90001 AS BIGINT) AS expiry_ms FROM labels")
+def psetex_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writes.psetex(_empty(spark), _labels(spark, sf_dir), AS_OF, 90_001).keyspace.select("key", "expiry_ms")
+
+
+@query(f"WITH {_ORDERS} SELECT key, value FROM ks WHERE key NOT IN (SELECT 'order:' || l_orderkey FROM lineitem WHERE l_linenumber = 2)")
+def unlink_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = _t(spark, sf_dir, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("seq"), F.lit(0).alias("db"), _key("order:", "l_orderkey").alias("key"))
+    return writes.unlink(_orders(spark, sf_dir), batch, AS_OF).keyspace.select("key", _text("value").alias("value"))
+
+
 @query("SELECT 'nation:' || n_nationkey AS key, n_name AS value FROM nation UNION ALL SELECT 'region:' || r_regionkey, r_name FROM region")
 def mset_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _t(spark, sf_dir, "nation").select(_key("nation:", "n_nationkey").alias("key"), as_bytes(F.col("n_name")).alias("value"), F.col("n_nationkey").cast("long").alias("pos"))
@@ -293,9 +339,12 @@ def rename_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.rename(_orders(spark, sf_dir), lab, AS_OF).keyspace.select("key", _text("value").alias("value"), "expiry_ms")
 
 
-@query(f"WITH {_ORDERS}, b AS (SELECT doc_id, 'order:' || doc_id AS src, 'order:' || (doc_id * 2) AS dst FROM labels) SELECT doc_id AS seq, CAST(CASE WHEN b.src = b.dst THEN 0 WHEN l.key IS NOT NULL AND d.key IS NULL THEN 1 ELSE 0 END AS BIGINT) AS reply_int, CASE WHEN b.src <> b.dst AND l.key IS NULL THEN 'ERR no such key' END AS error FROM b LEFT JOIN live l ON l.key = src LEFT JOIN live d ON d.key = dst")
+@query(f"WITH {_ORDERS}, b AS (SELECT doc_id, 'order:' || doc_id AS src, CASE WHEN doc_id % 5 = 0 THEN 'order:' || doc_id WHEN doc_id % 2 = 0 THEN 'order:' || (doc_id + 10000) ELSE 'free:' || doc_id END AS dst FROM labels) SELECT doc_id AS seq, CAST(CASE WHEN b.src = b.dst THEN 0 WHEN l.key IS NULL THEN NULL WHEN d.key IS NULL THEN 1 ELSE 0 END AS BIGINT) AS reply_int, CASE WHEN b.src <> b.dst AND l.key IS NULL THEN 'ERR no such key' END AS error FROM b LEFT JOIN live l ON l.key = src LEFT JOIN live d ON d.key = dst")
 def renamenx_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"), F.lit(0).alias("db"), _key("order:", "doc_id").alias("key"), F.concat(F.lit("order:"), (F.col("doc_id") * 2).cast("string")).alias("dst"))
+    """Orders renamed to their own names, to names of other orders, and to free ones; no two commands share a key."""
+    d = F.col("doc_id")
+    dst = F.when(d % 5 == 0, _key("order:", "doc_id")).when(d % 2 == 0, F.concat(F.lit("order:"), (d + 10_000).cast("string"))).otherwise(_key("free:", "doc_id"))
+    lab = _t(spark, sf_dir, "labels").select(d.alias("seq"), F.lit(0).alias("db"), _key("order:", "doc_id").alias("key"), dst.alias("dst"))
     return writes.renamenx(_orders(spark, sf_dir), lab, AS_OF).replies.select("seq", "reply_int", "error")
 
 
@@ -331,21 +380,40 @@ def pexpireat_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expiry.pexpireat(_orders(spark, sf_dir), batch, AS_OF).keyspace.select("key", "expiry_ms")
 
 
+def _moment_query(name: str, f: Callable, amount: str, new: str) -> None:
+    """An expiry command of one row for each label, some of which delete."""
+    sql = f"""WITH {_ORDERS}, b AS (SELECT 'order:' || doc_id AS key, {new} AS new, doc_id % 20 AS n FROM labels)
+SELECT ks.key, CASE WHEN live.key IS NOT NULL AND n > 0 THEN new ELSE ks.expiry_ms END AS expiry_ms
+FROM ks LEFT JOIN b ON b.key = ks.key LEFT JOIN live ON live.key = ks.key WHERE NOT coalesce(live.key IS NOT NULL AND n <= 0, false)"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        batch = _labels(spark, sf_dir).withColumn("amount", F.expr(amount))
+        return f(_orders(spark, sf_dir), batch, AS_OF).keyspace.select("key", "expiry_ms")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_moment_query("pexpire_labels", expiry.pexpire, "seq % 20 * 1500", f"{AS_OF} + (doc_id % 20) * 1500")
+_moment_query("expireat_labels", expiry.expireat, f"if(seq % 20 = 0, 0, {AS_OF // 1000} + seq % 20)", f"({AS_OF // 1000} + doc_id % 20) * 1000")
+
+
 @query(f"WITH {_ORDERS} SELECT key, CASE WHEN key IN (SELECT 'order:' || doc_id FROM labels) AND {AS_OF} <= expiry_ms THEN 0 ELSE expiry_ms END AS expiry_ms FROM ks")
 def persist_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expiry.persist(_orders(spark, sf_dir), _labels(spark, sf_dir), AS_OF).keyspace.select("key", "expiry_ms")
 
 
-@query(f"""WITH {_ORDERS}, b AS (SELECT l_orderkey, l_linenumber, 'order:' || l_orderkey AS key FROM lineitem), m AS (SELECT b.*, live.key AS k, expiry_ms AS e FROM b LEFT JOIN live ON live.key = b.key)
+@query(f"""WITH {_ORDERS}, b AS (SELECT DISTINCT l_linenumber, 'order:' || l_orderkey AS key FROM lineitem), m AS (SELECT b.*, live.key AS k, expiry_ms AS e FROM b LEFT JOIN live ON live.key = b.key)
 SELECT key, CAST(l_linenumber AS BIGINT) AS seq, CAST(CASE WHEN k IS NULL THEN -2 WHEN e = 0 THEN -1 ELSE (e - {AS_OF} + 999) // 1000 END AS BIGINT) AS ttl, CAST(CASE WHEN k IS NULL THEN -2 WHEN e = 0 THEN -1 ELSE e - {AS_OF} END AS BIGINT) AS pttl,
 CAST(CASE WHEN k IS NULL THEN -2 WHEN e = 0 THEN -1 ELSE e // 1000 END AS BIGINT) AS expiretime, CAST(CASE WHEN k IS NULL THEN -2 WHEN e = 0 THEN -1 ELSE e END AS BIGINT) AS pexpiretime FROM m""")
 def ttl_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TTL, PTTL, EXPIRETIME and PEXPIRETIME of the same keys, in one pass."""
-    batch = _t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("seq"), F.lit(0).alias("db"), _key("order:", "l_orderkey").alias("key"))
-    ms = F.col("pexpiretime")
-    told = expiry.pexpiretime(_orders(spark, sf_dir), batch, AS_OF).select("key", "seq", F.col("reply_int").alias("pexpiretime"))
-    or_ = lambda c: F.when(ms < 0, ms).otherwise(c).cast("long")
-    return told.select("key", "seq", or_(F.ceil((ms - AS_OF) / 1000)).alias("ttl"), or_(ms - AS_OF).alias("pttl"), or_(F.floor(ms / 1000)).alias("expiretime"), "pexpiretime")
+    """TTL, PTTL, EXPIRETIME and PEXPIRETIME of the same keys."""
+    batch = _t(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("seq"), F.lit(0).alias("db"), _key("order:", "l_orderkey").alias("key")).distinct()
+    ks, out = _orders(spark, sf_dir), None
+    for name, f in (("ttl", expiry.ttl), ("pttl", expiry.pttl), ("expiretime", expiry.expiretime), ("pexpiretime", expiry.pexpiretime)):
+        told = f(ks, batch, AS_OF).select("key", "seq", F.col("reply_int").alias(name))
+        out = told if out is None else out.join(told, ["key", "seq"])
+    return out
 
 
 @query(f"WITH {_ORDERS} SELECT key, CASE WHEN expiry_ms = 0 THEN {AS_OF} + {DAY} ELSE least(expiry_ms, {AS_OF} + 7 * {DAY}) END AS expiry_ms FROM ks")
@@ -366,6 +434,26 @@ def decr_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric.decr(_empty(spark), _user_batch(spark, sf_dir, "view"), AS_OF).keyspace.select("key", _text("value").alias("value"))
 
 
+@query(f"WITH {_LOG} SELECT seq, key, count(*) OVER (PARTITION BY key ORDER BY seq) AS reply_int FROM log WHERE kind = 'view'")
+def incr_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numeric.incr(_empty(spark), _user_batch(spark, sf_dir, "view"), AS_OF).replies.select("seq", "key", "reply_int")
+
+
+_NUMBERS = "(VALUES (0, '5'), (1, ''), (2, '007'), (3, '-12'), (4, '9223372036854775807'), (5, '-9223372036854775808'), (6, '9223372036854775808'), (7, ' 5'), (8, '+5'), (9, '5.0'), (10, '-'), (11, 'x')) AS v(k, text)"
+
+
+@query(f"""WITH b AS (SELECT p_partkey AS seq, text, p_size AS n, CASE WHEN text = '' THEN 0 WHEN regexp_full_match(text, '-?[0-9]+') THEN try_cast(text AS BIGINT) END AS old FROM part JOIN {_NUMBERS} ON p_partkey % 12 = k)
+SELECT seq, CAST(CASE WHEN old IS NULL THEN NULL ELSE try_cast(CAST(old AS HUGEINT) - n AS BIGINT) END AS VARCHAR) AS reply,
+CASE WHEN old IS NULL THEN 'ERR value is not an integer or out of range' WHEN try_cast(CAST(old AS HUGEINT) - n AS BIGINT) IS NULL THEN 'ERR increment or decrement would overflow' END AS error FROM b""")
+def decrby_stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DECRBY on stored texts of all kinds: integers at both ends, leading zeros, blanks, signs, fractions, words."""
+    texts = ["5", "", "007", "-12", "9223372036854775807", "-9223372036854775808", "9223372036854775808", " 5", "+5", "5.0", "-", "x"]
+    p = _t(spark, sf_dir, "part")
+    ks = keyspace(p, 0, _key("n", "p_partkey"), F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("p_partkey") % 12 + 1).cast("int")))
+    batch = p.select(F.col("p_partkey").alias("seq"), F.lit(0).alias("db"), _key("n", "p_partkey").alias("key"), F.col("p_size").cast("long").alias("num"))
+    return numeric.decrby(ks, batch, AS_OF).replies.select("seq", _text("reply_int").alias("reply"), "error")
+
+
 @query("WITH t AS (SELECT 'user:' || user_id AS key, sum(CAST(value AS DECIMAL(28, 2))) AS s FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT key, regexp_replace(regexp_replace(CAST(s AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS value FROM t")
 def incrbyfloat_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("seq"), F.lit(0).alias("db"), _key("user:", "user_id").alias("key"), F.col("value").cast("decimal(28,2)").alias("num"))
@@ -411,25 +499,69 @@ def _commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("seq", "ts_ms", F.col("db").cast("int").alias("db"), "op", "key", F.when(F.col("kind") == "purchase", F.col("cents").cast("string").cast("binary")).alias("arg"), num.cast("string").alias("num"), F.lit(None).cast("long").alias("ttl_ms"), F.create_map().cast("map<string,string>").alias("opts"))
 
 
-@query()
+#: The commands of _commands on each key, one after the other: value and expiry after the n-th one, and its reply.
+_STEPS = f"""c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM (SELECT seq, ts_ms, key, CASE kind WHEN 'purchase' THEN 'SET' WHEN 'click' THEN 'INCRBY' WHEN 'view' THEN 'GET' WHEN 'signup' THEN 'EXPIRE' WHEN 'error' THEN 'GETDEL' END AS op, cents, n AS step FROM log)),
+s(key, n, seq, op, value, expiry_ms, seen) AS (
+  SELECT key, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT key FROM c)
+  UNION ALL
+  SELECT key, n, seq, op, CASE op WHEN 'SET' THEN cents WHEN 'INCRBY' THEN coalesce(old, 0) + step WHEN 'GETDEL' THEN NULL ELSE old END,
+    CASE WHEN op = 'SET' OR op = 'GETDEL' THEN 0 WHEN old IS NULL THEN 0 WHEN op = 'EXPIRE' THEN ts_ms + 3600000 ELSE expiry_ms END, old
+  FROM (SELECT c.key, c.n, c.seq, c.op, c.ts_ms, c.cents, c.step, s.expiry_ms, CASE WHEN s.expiry_ms = 0 OR c.ts_ms <= s.expiry_ms THEN s.value END AS old FROM s JOIN c ON c.key = s.key AND c.n = s.n + 1)
+)"""
+
+
+@query(f"WITH RECURSIVE {_LOG}, {_STEPS} SELECT key, CAST(arg_max(value, n) AS VARCHAR) AS value, arg_max(expiry_ms, n) AS expiry_ms FROM (SELECT key, n, coalesce(value, -1) AS value, expiry_ms, value IS NULL AS gone FROM s WHERE n > 0) GROUP BY key HAVING NOT arg_max(gone, n)")
 def replay_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets, increments, expiry and deletes: the sorted fold of each key."""
     return replay.fold(_empty(spark), _commands(spark, sf_dir)).keyspace.select("key", _text("value").alias("value"), "expiry_ms")
 
 
-@query()
+_REPLIES = f"""SELECT seq, key, CASE WHEN op = 'SET' THEN 'OK' WHEN op IN ('GET', 'GETDEL') THEN CAST(seen AS VARCHAR) END AS reply,
+CAST(CASE WHEN op = 'INCRBY' THEN value WHEN op = 'EXPIRE' THEN CASE WHEN seen IS NULL THEN 0 ELSE 1 END END AS BIGINT) AS reply_int FROM s WHERE n > 0"""
+
+
+@query(f"WITH RECURSIVE {_LOG}, {_STEPS} {_REPLIES}")
 def streaming_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same commands as a stream of micro-batches; replies with keyed state."""
+    """The same commands as a stream; replies with keyed state. The log arrives in eight pieces in the order of seq, each of
+    several files, and each piece is one micro-batch."""
     import uuid
 
     from ..streaming.live import replies
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    _commands(spark, sf_dir).write.parquet(f"{base}/log")
-    stream = spark.readStream.schema(machine.LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
-    q = replies(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/replies").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(machine.REPLY_SCHEMA).parquet(f"{base}/replies").select("seq", "key", _text("reply_bytes").alias("reply"), "reply_int", "error")
+    log = _commands(spark, sf_dir)
+    low, high = log.agg(F.min("seq"), F.max("seq")).first()
+    for i in range(8 if low is not None else 1):
+        cut = [low + (high + 1 - low) * k // 8 for k in (i, i + 1)] if low is not None else [0, 0]
+        log.where((F.col("seq") >= cut[0]) & (F.col("seq") < cut[1])).repartition(3).write.mode("append").parquet(f"{base}/log")
+        stream = spark.readStream.schema(machine.LOG_SCHEMA).parquet(f"{base}/log")
+        q = replies(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/replies").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.schema(machine.REPLY_SCHEMA).parquet(f"{base}/replies").select("seq", "key", _text("reply_bytes").alias("reply"), "reply_int")
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT DISTINCT user_id FROM events), c AS (SELECT event_id AS seq, user_id, event_type AS kind, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n, user_id % 5 AS g FROM events),
+s(g, n, names) AS (
+  SELECT DISTINCT user_id % 5, CAST(0 AS BIGINT), MAP([-1], [CAST(-1 AS BIGINT)]) FROM events
+  UNION ALL
+  SELECT s.g, c.n, CASE WHEN kind = 'purchase' THEN map_concat(names, MAP([CAST(user_id AS INTEGER)], [seq]))
+    WHEN kind = 'click' AND coalesce(names[CAST(user_id AS INTEGER)], -1) >= 0 THEN map_concat(names, MAP([CAST(user_id + 5 AS INTEGER), CAST(user_id AS INTEGER)], [names[CAST(user_id AS INTEGER)], CAST(-1 AS BIGINT)]))
+    WHEN kind = 'view' AND coalesce(names[CAST(user_id AS INTEGER)], -1) >= 0 AND coalesce(names[CAST(user_id + 10 AS INTEGER)], -1) < 0 THEN map_concat(names, MAP([CAST(user_id + 10 AS INTEGER)], [names[CAST(user_id AS INTEGER)]]))
+    ELSE names END
+  FROM s JOIN c ON c.g = s.g AND c.n = s.n + 1
+), l AS (SELECT g, arg_max(names, n) AS names FROM s GROUP BY g), e AS (SELECT unnest(map_entries(names)) AS e FROM l)
+SELECT 'user:' || e.key AS key, CAST(e.value AS VARCHAR) AS value FROM e WHERE e.value >= 0""")
+def replay_across_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a command: purchases set a user's key, clicks rename it to that of the fifth user after, views copy it
+    to the tenth after. All commands share keys with others, in five groups."""
+    log = _log(spark, sf_dir)
+    user = F.substring("key", 6, 20).cast("long")
+    op = F.when(F.col("kind") == "purchase", "SET").when(F.col("kind") == "click", "RENAME").when(F.col("kind") == "view", "COPY").otherwise("GET")
+    dst = F.when(F.col("kind") == "click", user + 5).when(F.col("kind") == "view", user + 10).cast("string")
+    opts = F.when(dst.isNotNull(), F.create_map(F.lit("dst"), F.concat(F.lit("user:"), dst))).otherwise(F.create_map().cast("map<string,string>"))
+    none = F.lit(None)
+    rows = log.select("seq", "ts_ms", F.col("db").cast("int").alias("db"), op.alias("op"), "key", F.col("seq").cast("string").cast("binary").alias("arg"), none.cast("string").alias("num"), none.cast("long").alias("ttl_ms"), opts.alias("opts"))
+    return replay.replay(_empty(spark), rows).keyspace.select("key", _text("value").alias("value"))
 
 
 # Counters, eviction, sources
@@ -446,6 +578,11 @@ def counters_per_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counters.sizes(_three(spark, sf_dir))
 
 
+@query("SELECT count(*) AS keys_count, CAST(sum(n) AS BIGINT) AS data_size FROM (SELECT octet_length(encode(o_orderstatus)) AS n FROM orders UNION ALL SELECT octet_length(encode(c_name)) FROM customer UNION ALL SELECT octet_length(encode(p_name)) FROM part)")
+def counters_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters.sizes(_three(spark, sf_dir), per_db=False)
+
+
 @query(f"WITH {_LOG}, c AS (SELECT kind, length(CAST(cents AS VARCHAR)) AS size, lag(kind) OVER w AS k0, lag(length(CAST(cents AS VARCHAR))) OVER w AS s0 FROM log WHERE kind IN ('purchase', 'error') WINDOW w AS (PARTITION BY key ORDER BY seq)) SELECT CAST(0 AS INTEGER) AS db, count(*) AS keys_changed, CAST(sum(CASE WHEN kind = 'purchase' THEN size ELSE s0 END) AS BIGINT) AS data_changed FROM c WHERE kind = 'purchase' OR k0 = 'purchase'")
 def change_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _user_batch(spark, sf_dir, "purchase", "error").withColumn("size", F.length(F.col("cents").cast("string")))
@@ -487,11 +624,30 @@ _evict_query("ttl", "CASE WHEN expiry_ms = 0 THEN 9223372036854775807 ELSE expir
 _evict_query("lru", "last_access_ms", True)
 
 
-@query()
+@query(f"WITH {_ORDERS} SELECT key, last_access_ms AS rank_by FROM (SELECT * FROM ks ORDER BY md5(key || ':4'), key LIMIT {eviction.SAMPLE}) ORDER BY last_access_ms, key LIMIT {eviction.ROUND}")
 def evict_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eviction.victims(_orders(spark, sf_dir), "lru", sample=eviction.SAMPLE, seed=3).select("key", "rank_by")
 
 
+@query(f"WITH {_ORDERS} SELECT key FROM ks ORDER BY md5(key || ':5'), key LIMIT {eviction.ROUND}")
+def evict_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eviction.victims(_orders(spark, sf_dir), "random", seed=5).select("key")
+
+
+@query(f"WITH {_ORDERS}, r AS (SELECT key, row_number() OVER (ORDER BY last_access_ms, key) AS n, count(*) OVER () AS every FROM ks) SELECT key FROM r WHERE n > every - every // 3")
+def evict_to_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least recently used entries go until a third of the database is left."""
+    ks = _orders(spark, sf_dir)
+    return eviction.evict_to(ks, "lru", soft_keys=ks.count() // 3).select("key")
+
+
+@query("WITH d AS (SELECT 'doc:' || doc_id AS key, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents), r AS (SELECT *, coalesce(sum(size) OVER (ORDER BY md5(key || ':2'), key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS every FROM d) SELECT key FROM r WHERE NOT before < every - every // 2")
+def evict_to_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries go in a random order until half of the bytes are left."""
+    ks = _docs(spark, sf_dir)
+    return eviction.evict_to(ks, "random", soft_bytes=eviction.usage(ks)[1] // 2, seed=2).select("key")
+
+
 @query(f"WITH {_ORDERS} SELECT key, value, expiry_ms FROM live")
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
@@ -503,11 +659,39 @@ def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'customer:' || c_custkey AS key, CAST(c_custkey AS VARCHAR) AS value FROM customer")
 def rdb_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries made into RDB files and read from them again."""
+    """Entries written into RDB files and read from them again."""
+    import uuid
+
     ks = keyspace(_t(spark, sf_dir, "customer"), 1, _key("customer:", "c_custkey"), F.col("c_custkey").cast("string"))
-    files = rdb.to_rdb(ks.repartition(4, "db", "key"))
-    rows = files.select("data").mapInArrow(lambda batches: (rdb._records(list(rdb.decode(x.as_py()))) for b in batches for x in b.column(0)), "db int, key string, value binary, expiry_ms long")
-    return rows.select("key", _text("value").alias("value"))
+    path = f"{shared_folder(spark)}/rdb-{uuid.uuid4().hex}"
+    rdb.write_rdb(ks, path, file_bytes=1 << 16)
+    return rdb.read_rdb(spark, f"{path}/*.rdb", AS_OF).select("key", _text("value").alias("value"))
+
+
+#: A client's session for each nation: SELECT, writes, reads and refused requests.
+_SESSION = ["SELECT 3", "SET {k} {v}", "APPEND {k} !", "STRLEN {k}", "MGET {k} none {k}", "DEL {k} {k}", "ECHO {v}", "GET {k}", "GET", "SELECT 99", "INCRBY n:{k} 5", "RENAME n:{k} m:{k}", "GET m:{k}", "PING", "NOSUCH x"]
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, replace(n_name, ' ', '_') AS v, chr(13) || chr(10) AS e FROM nation), w AS (SELECT k, octet_length(encode(v)) AS size, v, e FROM n), r AS (
+SELECT k, unnest([{'pos': 0, 'wire': '+OK' || e}, {'pos': 1, 'wire': '+OK' || e}, {'pos': 2, 'wire': ':' || (size + 1) || e}, {'pos': 3, 'wire': ':' || (size + 1) || e}, {'pos': 4, 'wire': '*3' || e || '$' || (size + 1) || e || v || '!' || e || '$-1' || e || '$' || (size + 1) || e || v || '!' || e}, {'pos': 5, 'wire': ':1' || e},
+  {'pos': 6, 'wire': '$' || size || e || v || e}, {'pos': 7, 'wire': '$-1' || e}, {'pos': 8, 'wire': '-ERR wrong number of arguments for ''get'' command' || e}, {'pos': 9, 'wire': '-ERR invalid DB index' || e}, {'pos': 10, 'wire': ':5' || e}, {'pos': 11, 'wire': '+OK' || e}, {'pos': 12, 'wire': '$1' || e || '5' || e}, {'pos': 13, 'wire': '$4' || e || 'PONG' || e}, {'pos': 14, 'wire': '-ERR unknown command `NOSUCH` with `1` args' || e}]) AS x FROM w)
+SELECT CAST(k AS INTEGER) AS client, CAST(x.pos AS BIGINT) AS pos, replace(x.wire, '+OK', '$2' || chr(13) || chr(10) || 'OK') AS wire FROM r""")
+def capture_to_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured requests of a session for each nation, bound, replayed and answered: the bytes that each client reads."""
+    import uuid
+
+    base = f"{shared_folder(spark)}/capture-{uuid.uuid4().hex}"
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("name"), F.replace("n_name", F.lit(" "), F.lit("_")).alias("v"))
+    wire = lambda word: F.concat(F.lit("$"), F.octet_length(word).cast("string"), F.lit("\r\n"), word, F.lit("\r\n"))
+    requests = []
+    for line in _SESSION:
+        words = [F.replace(F.replace(F.lit(w), F.lit("{k}"), F.concat(F.lit("key"), "name")), F.lit("{v}"), F.col("v")) for w in line.split(" ")]
+        requests.append(F.concat(F.lit(f"*{len(words)}\r\n"), *[wire(w) for w in words]))
+    resp.write_captures(n.select("name", F.concat(*requests).cast("binary").alias("data")), base)
+    log, told = resp.read_log(spark, f"{base}/*.resp", AS_OF)
+    done = replay.answers(replay.replay(_empty(spark), log).replies)
+    every = done.unionByName(told, allowMissingColumns=True)
+    return every.select(F.shiftright("seq", 32).cast("int").alias("client"), F.col("seq").bitwiseAND(0xFFFFFFFF).alias("pos"), resp.reply_bytes(F.col("reply_bytes"), F.col("reply_int"), F.col("error"), F.col("reply_list")).cast("string").alias("wire"))
 
 
 @query("SELECT doc_id, '$' || octet_length(encode(text)) || chr(13) || chr(10) || text || chr(13) || chr(10) AS wire FROM documents")

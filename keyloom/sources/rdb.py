@@ -6,12 +6,18 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import key_bytes, key_text
+
 #: Marks and codes of the format, and its version.
 MAGIC, VERSION = b"REDIS", 9
 OP_AUX, OP_RESIZE, OP_EXPIRE_MS, OP_EXPIRE_S, OP_DB, OP_EOF, TYPE_STRING = 0xFA, 0xFB, 0xFC, 0xFD, 0xFE, 0xFF, 0
+#: Bytes that are written at a time, and of a file.
+CHUNK, FILE_BYTES = 1 << 20, 256 << 20
 _RECORDS = "db int, key string, value binary, expiry_ms long"
 
 
@@ -120,7 +126,10 @@ def decode(data: bytes) -> Iterator[tuple[int, bytes, bytes, int]]:
 
 
 def read_rdb(spark: SparkSession, path: str, as_of: int) -> DataFrame:
-    """(db, key, value, expiry_ms) of all files in ``path``, without what has expired at ``as_of``; a task for each file."""
+    """(db, key, value, expiry_ms) of all files in ``path``, without what has expired at ``as_of``.
+
+    A file cannot be split, and is one value while it is read: files of more than 2 GB are refused. Keys that are not UTF-8
+    keep apart, as ``key_text`` has them."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,26 +148,64 @@ def read_rdb(spark: SparkSession, path: str, as_of: int) -> DataFrame:
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
     db, key, value, expiry = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(db, pa.int32()), pa.array([k.decode("utf-8", "replace") for k in key], pa.string()), pa.array(value, pa.binary()), pa.array(expiry, pa.int64())], names=["db", "key", "value", "expiry_ms"])
+    return pa.RecordBatch.from_arrays([pa.array(db, pa.int32()), pa.array([key_text(k) for k in key], pa.string()), pa.array(value, pa.binary()), pa.array(expiry, pa.int64())], names=["db", "key", "value", "expiry_ms"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """The bytes of a whole file, a batch of entries at a time; nothing if there is no entry."""
+    db, out = None, bytearray(MAGIC + b"%04d" % VERSION)
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["db"] != db:
+                db = r["db"]
+                out += bytes([OP_DB]) + _size(db)
+            if r["expiry_ms"]:
+                out += bytes([OP_EXPIRE_MS]) + struct.pack("<Q", r["expiry_ms"])
+            out += bytes([TYPE_STRING]) + encode_string(key_bytes(r["key"])) + encode_string(r["value"] or b"")
+            if len(out) > CHUNK:
+                yield bytes(out)
+                out.clear()
+    if db is not None:
+        yield bytes(out) + bytes([OP_EOF]) + bytes(8)
 
 
 def to_rdb(ks: DataFrame) -> DataFrame:
-    """(part, data): a whole RDB file for each partition, entries in the order of db and key. Repartition first for the
-    number and size of files that is wanted; one partition gives one file."""
+    """(part, pos, data): a whole RDB file for each partition in chunks of about CHUNK bytes, to be put together by pos;
+    entries in the order of db and key. Repartition first for the number and size of files that is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, db = bytearray(MAGIC + b"%04d" % VERSION), None
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["db"] != db:
-                    db = r["db"]
-                    out += bytes([OP_DB]) + _size(db)
-                if r["expiry_ms"]:
-                    out += bytes([OP_EXPIRE_MS]) + struct.pack("<Q", r["expiry_ms"])
-                out += bytes([TYPE_STRING]) + encode_string(r["key"].encode()) + encode_string(r["value"] or b"")
-        if db is not None:
-            out += bytes([OP_EOF]) + bytes(8)
-            yield pa.RecordBatch.from_arrays([pa.array([bytes(out)], pa.binary())], names=["data"])
-
-    rows = ks.select("db", "key", "value", "expiry_ms").sortWithinPartitions("db", "key").mapInArrow(run, "data binary")
-    return rows.select(F.spark_partition_id().alias("part"), "data")
+        for pos, data in enumerate(_entries(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array([pos], pa.int32()), pa.array([data], pa.binary())], names=["pos", "data"])
+
+    rows = ks.select("db", "key", "value", "expiry_ms").sortWithinPartitions("db", "key").mapInArrow(run, "pos int, data binary")
+    return rows.select(F.spark_partition_id().alias("part"), "pos", "data")
+
+
+def write_rdb(ks: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> int:
+    """Write the entries as RDB files into the new folder ``path`` (a URI that pyarrow can write to, such as file, hdfs, s3 or
+    gs), and give their number, which follows from the size of the entries: about ``file_bytes`` each.
+
+    Tasks write one file each, piece by piece, under a name of their own, and give it its final name when it is whole; a
+    task that is run again replaces that file.
+    """
+    total = ks.agg(F.coalesce(F.sum(F.octet_length("value").cast("long") + F.octet_length("key") + 16), F.lit(0))).first()[0]
+    count = max(1, -(-int(total) // file_bytes))
+    rows = ks.select("db", "key", "value", "expiry_ms").repartition(count, F.xxhash64("db", "key")).sortWithinPartitions("db", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        fs, folder = FileSystem.from_uri(path)
+        fs.create_dir(folder, recursive=True)
+        name = f"{folder}/part-{context.partitionId():05d}.rdb"
+        own, size = f"{folder}/.{context.taskAttemptId()}.tmp", 0
+        with fs.open_output_stream(own) as out:
+            for data in _entries(batches):
+                out.write(data)
+                size += len(data)
+        if size:
+            fs.move(own, name)
+        else:
+            fs.delete_file(own)
+        yield pa.RecordBatch.from_arrays([pa.array([int(size > 0)], pa.int64())], names=["files"])
+
+    return int(rows.mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0)

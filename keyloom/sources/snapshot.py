@@ -1,4 +1,4 @@
-"""Snapshots: immutable Parquet versions of the keyspace, and a pointer to the current one."""
+"""Snapshots: immutable Parquet versions of the keyspace. A version counts when it is written whole, which a mark tells."""
 
 from __future__ import annotations
 
@@ -20,30 +20,38 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions that lie in ``path``."""
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
     fs, at = _fs(spark, path)
-    if not fs.exists(at):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(at)]
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions that lie in ``path``."""
+    return _numbers(spark, f"{path}/_whole", "")
 
 
 def current(spark: SparkSession, path: str) -> int:
-    """The number of the current version."""
-    return int(spark.read.text(f"{path}/_current.txt").first()[0])
+    """The number of the current version: the last whole one. Readers see the one before until a new one is marked."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no whole snapshot in {path}")
+    return found[-1]
 
 
 def save(ks: DataFrame, path: str, as_of: int, keep: int = 3) -> int:
-    """SAVE and BGSAVE: write the live entries as a new version, one folder for each db, then point at it; only the last
-    ``keep`` versions stay. Readers of an older version are not disturbed before it goes."""
+    """SAVE and BGSAVE: write the live entries as a new version, one folder for each db, then mark it whole, which is one
+    step of the file system; only the last ``keep`` versions stay. Readers of an older version are not disturbed before it
+    goes, and what a writer that failed has left is no version."""
     spark = ks.sparkSession
-    number = max(versions(spark, path), default=0) + 1
+    number = max(_numbers(spark, path, "v="), default=0) + 1
     live(ks, as_of).select(*COLUMNS).write.partitionBy("db").parquet(f"{path}/v={number}")
-    spark.createDataFrame([(str(number),)], "v string").coalesce(1).write.mode("overwrite").text(f"{path}/_current.txt")
+    fs, at = _fs(spark, f"{path}/_whole/{number}")
+    fs.create(at).close()
     for old in versions(spark, path)[: -keep or None]:
-        fs, at = _fs(spark, f"{path}/v={old}")
-        fs.delete(at, True)
+        for name in (f"_whole/{old}", f"v={old}"):
+            fs, at = _fs(spark, f"{path}/{name}")
+            fs.delete(at, True)
     return number
 
 

@@ -14,14 +14,19 @@ from ..operators.machine import REPLY_SCHEMA, Entry, step
 _STATE = "value binary, expiry_ms long, created_ms long, last_access_ms long, accesses long"
 
 
-def replies(log: DataFrame) -> DataFrame:
+def replies(log: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Replies (REPLY_SCHEMA) to a stream of commands on single keys (machine.LOG_SCHEMA).
 
-    A key's commands are applied in the order of seq within a micro-batch; micro-batches follow each other. State is one
-    entry for each key, dropped when the key is deleted.
+    A key's commands are applied in the order of seq within a micro-batch; micro-batches follow each other, so the source must
+    deliver the log in pieces that follow each other by seq. A task holds one key's commands of one micro-batch, which the
+    source's limits for a trigger bound. State is one entry for each key; it goes when the key is deleted, and when the
+    watermark, ``late`` behind the newest command, has passed the entry's expiry.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         entry = Entry(*state.get) if state.exists else None
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         out = []
@@ -30,13 +35,16 @@ def replies(log: DataFrame) -> DataFrame:
             out.append((r.seq, r.db, r.key, *reply))
         if entry is not None:
             state.update(tuple(entry))
+            if entry.expiry_ms > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(entry.expiry_ms + 1)
         elif state.exists:
             state.remove()
         done = pd.DataFrame(out, columns=[c.split()[0] for c in REPLY_SCHEMA.split(", ")])
         done["reply_int"] = done["reply_int"].astype("Int64")
         yield done
 
-    return log.groupBy("db", "key").applyInPandasWithState(run, REPLY_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    timed = log.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", late)
+    return timed.groupBy("db", "key").applyInPandasWithState(run, REPLY_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def command_rates(log: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:

@@ -15,7 +15,7 @@ def norm(value):
         return bytes(value)
     if isinstance(value, (list, tuple)):
         return tuple(norm(v) for v in value)
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return None
     if hasattr(value, "item"):
         value = value.item()

@@ -31,13 +31,50 @@ ODD = [b"", b"0", b"007", b"+5", b" 5", b"-1", b"127", b"128", b"-129", b"32768"
 
 def test_rdb_round_trip(spark, tmp_path):
     rows = [(i % 3, f"k{i}", v, 0 if i % 2 else 10**12 + i) for i, v in enumerate(ODD)]
-    for i, r in enumerate(rdb.to_rdb(ks(spark, *rows).repartition(2, "key")).collect()):
-        (tmp_path / f"{i}.rdb").write_bytes(bytes(r["data"]))
+    parts = {}
+    for r in rdb.to_rdb(ks(spark, *rows).repartition(2, "key")).orderBy("part", "pos").collect():
+        parts[r["part"]] = parts.get(r["part"], b"") + bytes(r["data"])
+    for i, data in parts.items():
+        (tmp_path / f"{i}.rdb").write_bytes(data)
     got = rdb.read_rdb(spark, f"file://{tmp_path}/*.rdb", as_of=5)
     assert sorted((r["db"], r["key"], bytes(r["value"]), r["expiry_ms"]) for r in got.collect()) == sorted(rows)
     assert rdb.read_rdb(spark, f"file://{tmp_path}/*.rdb", as_of=10**13).count() == len(ODD) // 2
 
 
+def test_rdb_files_follow_the_size_of_the_entries(spark, tmp_path):
+    from keyloom.functions.values import key_text
+
+    keys = [b"plain", b"\xff\xfe", b"\xff\xfd", "\uefff".encode(), b"\xef\xbf\xbf", "é".encode()]
+    rows = [(0, key_text(k), b"v%d" % i, 0) for i, k in enumerate(dict.fromkeys(keys))] + [(1, f"k{i}", b"x" * 1000, 0) for i in range(100)]
+    n = rdb.write_rdb(ks(spark, *rows), f"file://{tmp_path}/out", file_bytes=20_000)
+    assert 3 <= n <= 6 and len(list((tmp_path / "out").iterdir())) == n
+    got = rdb.read_rdb(spark, f"file://{tmp_path}/out/*.rdb", as_of=5)
+    assert sorted((r["db"], r["key"], bytes(r["value"]), r["expiry_ms"]) for r in got.collect()) == sorted(rows)
+    assert rdb.write_rdb(ks(spark), f"file://{tmp_path}/none") == 0
+
+
+def test_captures_become_a_log(spark, tmp_path):
+    def wire(*lines):
+        return b"".join(b"*%d\r\n" % len(x.split()) + b"".join(b"$%d\r\n%s\r\n" % (len(w), w) for w in x.split()) for x in lines)
+
+    (tmp_path / "a.resp").write_bytes(wire(b"SELECT 2", b"SET a 1", b"ECHO hi", b"KEYS *") + b"PING\r\n")
+    (tmp_path / "b.resp").write_bytes(wire(b"MGET a b", b"SELECT 77", b"GET", b"FLUSHDB"))
+    log, told = resp.read_log(spark, f"file://{tmp_path}/*.resp", 5, disabled=frozenset({"FLUSHDB"}))
+    rows = sorted((r["seq"], r["db"], r["op"], r["key"]) for r in log.collect())
+    assert rows == [(1, 2, "SET", "a"), (1 << 32, 0, "GET", "a"), (1 << 32, 0, "GET", "b")]
+    said = {r["seq"]: (r["reply_bytes"] and bytes(r["reply_bytes"]), r["error"]) for r in told.collect()}
+    assert said[0] == (b"OK", None) and said[2] == (b"hi", None) and said[4] == (b"PONG", None) and "single key" in said[3][1]
+    assert [said[(1 << 32) + i][1] for i in (1, 2, 3)] == ["ERR invalid DB index", "ERR wrong number of arguments for 'get' command", "ERR command 'flushdb' is disabled"]
+
+
+def test_a_snapshot_that_was_not_finished_is_no_version(spark, tmp_path):
+    path = f"file://{tmp_path}/snap"
+    snapshot.save(ks(spark, (0, "a", b"1", 0)), path, as_of=1)
+    ks(spark, (0, "a", b"2", 0)).write.partitionBy("db").parquet(f"{path}/v=2")  # a writer that failed before its mark
+    assert snapshot.current(spark, path) == 1 and snapshot.save(ks(spark, (0, "a", b"3", 0)), path, as_of=1) == 3
+    assert snapshot.load(spark, path).first()["value"] == b"3"
+
+
 def test_rdb_encodes_only_canonical_integers():
     assert rdb.encode_string(b"-5") == b"\xc0\xfb" and rdb.encode_string(b"300") == b"\xc1" + struct.pack("<h", 300) and rdb.encode_string(b"70000")[0] == 0xC2
     assert all(rdb.encode_string(v)[0] < 0xC0 for v in (b"007", b"+5", b" 5", b"2147483648", b"", b"5_0", b"-0"))
