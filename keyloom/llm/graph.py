@@ -1,31 +1,5 @@
-"""Connected components of a graph of links, as joins and aggregations."""
+"""Connected components of links between documents."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .tables import stage_table
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a long, b long): component is the smallest node reachable.
-
-    Each round gives a node the smallest label among its neighbours, then follows labels once (label of the label), so a
-    path shortens by a constant factor. Rows that repeat, edges in either direction and loops are allowed; rows with a
-    null end are ignored. Labels are tables in the shared folder; nothing but two counts reaches the driver.
-    """
-    both = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
-    both = stage_table(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        mine = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = mine.join(jump, mine.label == jump.via, "left").select("node", "old", F.least(F.col("label"), F.coalesce("far", "label")).alias("label"))
-        new = stage_table(new, "labels")
-        changed = new.where("old <> label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+__all__ = ["components"]

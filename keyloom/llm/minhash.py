@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .arrow_text import Words, chunks, mix, shingles
 from .graph import components
-from .tables import stage_table
+from .tables import drop_staged, stage_table
 
-#: 32 bands of 4 values: at a similarity of 0.75 a pair misses all bands with a chance of 5e-6, above it with less.
+#: 32 bands of 4 values: at a similarity of 0.75 a pair of large sets misses all bands with a chance of 5e-6, above it with less.
 BANDS, ROWS = 32, 4
 
 
@@ -35,7 +35,8 @@ def _signatures(sets: np.ndarray, first: np.ndarray, bands: int, rows: int) -> n
         v = sets * mult[i] + add[i]
         low[i] = np.minimum.reduceat(v, at)
         high[i] = np.maximum.reduceat(v, at)
-    values = np.concatenate([low, high]).reshape(rows, bands, -1)  # a band's values come from different functions
+    # no band holds both ends of one function, which are not independent in small sets
+    values = np.concatenate([low, np.roll(high, hashes // 4, axis=0)]).reshape(rows, bands, -1)
     key = np.arange(bands, dtype=np.uint64)[:, None] + np.zeros(values.shape[2], np.uint64)
     for r in range(rows):
         key = mix(key * np.uint64(0x9DDFEA08EB382D69) + values[r])
@@ -170,11 +171,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
     classes = stage_table(classes, "minhash-classes")
 
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
-    members = stage_table(keyed.join(leaders, "key"), "minhash-members")
+    leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.min_by("n", "rep").alias("n_leader"), F.max("rep").alias("last"))
+    members = stage_table(keyed.join(leaders.where("leader < last").select("key", "leader", "n_leader"), "key"), "minhash-members")
     near = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-    sizes = classes.select(F.col("rep").alias("leader"), F.col("n").alias("n_leader")).groupBy("leader").agg(F.max("n_leader").alias("n_leader"))
-    first = members.where("rep <> leader").select("leader", "rep", "n").distinct().join(sizes, "leader").where(near("n", "n_leader"))
+    first = members.where("rep <> leader").where(near("n", "n_leader"))
     first = stage_table(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "minhash-pairs")
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -201,6 +201,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, bands: int =
     rest = stage_table(_across(split(found), found, texts, k, percent), "minhash-rest")
     more = stage_table(_compare(rest, texts, k).where(linked).select("a", "b"), "minhash-links")
     whole = components(links.union(more)) if more.limit(1).count() else found
+    drop_staged(members, first, texts, rest)
 
     # Back from representatives to documents: a class may be as large as the input, so its rows are joined, not gathered.
     placed = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("component"))

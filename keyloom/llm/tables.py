@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import drop_staged, stage
+
+__all__ = ["bound_batches", "drop_staged", "join_frequent", "read", "stage_table"]
 
 #: Rows that go to a Python worker at a time; the default of ten thousand whole texts takes too much of an executor's memory.
 BATCH_ROWS = 1000
-#: Keys whose rows are dealt over SALTS tasks in a join; a key beyond these has less than a thousandth of all rows.
-HOT_KEYS, SALTS = 1000, 64
+#: Rows of one key that a task of a join takes; a key of more rows is dealt over several tasks.
+HOT_ROWS = 20_000
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -30,34 +28,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local one only where none is named, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    own = tempfile.mkdtemp(prefix="keyloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stage(df, name)
 
 
 def join_frequent(rows: DataFrame, few: DataFrame, keys: list[str], spread: str) -> DataFrame:
     """``rows`` joined with ``few``, which has one row per key and in ``n`` how many of ``rows`` have that key.
 
-    The HOT_KEYS keys with the most rows are salted by the hash of the column ``spread``; their list is broadcast, and
-    HOT_KEYS bounds it. ``few`` is staged, as it is read more than once; ``n`` is not in the result.
+    A key of more than HOT_ROWS rows (at very many rows: of more than a millionth of all) is dealt over as many tasks as it
+    has such portions, by the hash of the column ``spread``. At most a million keys can have so many rows, which bounds the
+    list of them that is broadcast. ``few`` is staged, as it is read more than once; ``n`` is not in the result.
     """
     few = stage_table(few, "frequent")
-    hot = F.broadcast(few.orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("hot_")))
-    salted = rows.join(hot, keys, "left").withColumn("salt_", F.when(F.col("hot_"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot_")
-    salts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = few.join(hot, keys, "left").withColumn("salt_", F.explode(salts)).drop("hot_", "n")
+    most = few.agg(F.max("n"), F.sum("n")).first()
+    portion = max(HOT_ROWS, -(-(most[1] or 0) // 1_000_000))
+    if (most[0] or 0) <= portion:
+        return rows.join(few.drop("n"), keys)
+    salts = F.ceil(F.col("n") / portion).cast("int")
+    hot = F.broadcast(few.where(F.col("n") > portion).select(*keys, salts.alias("salts_")))
+    salted = rows.join(hot, keys, "left").withColumn("salt_", F.coalesce(F.pmod(F.xxhash64(spread), "salts_"), F.lit(0)).cast("int")).drop("salts_")
+    dealt = few.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop("n")
     return salted.join(dealt, [*keys, "salt_"]).drop("salt_")
