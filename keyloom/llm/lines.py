@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,37 +21,32 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """(h1, h2, first, n) of the lines on ``min_sites`` sites or more; first is the (id, pos) of the smallest of n occurrences.
+    """Every occurrence of the lines on ``min_sites`` sites or more: id, th, pos, and ``first``, the line's smallest (id, pos).
 
     A HyperLogLog sketch of sites per line hash, merged by aggregation, decides lines far from the threshold; those within
-    NEAR (and one site) of it get exact distinct counts.
+    NEAR (and one site) of it get exact distinct counts. Lines that may be spread are picked from the texts once.
     """
     lines = _lines(docs, id_col, text_col, site_col)
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(12))).alias("sites"), F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n"))
     low, high = min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR) + 1
-    some = stage_table(spread.where(F.col("sites") >= low), "line-spread")
-    sure = some.where(F.col("sites") > high).select("h1", "h2", "first", "n")
-    near = some.where(F.col("sites") <= high).select("h1", "h2", "first", "n")
-    exact = join_frequent(lines.where("site is not null"), near.select("h1", "h2", "n"), ["h1", "h2"], "id").select("h1", "h2", "site").distinct()
-    exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("exact")).where(F.col("exact") >= min_sites)
-    return sure.unionByName(near.join(exact.select("h1", "h2"), ["h1", "h2"]))
+    some = spread.where(F.col("sites") >= low).withColumn("total", F.col("n"))
+    some = stage_table(join_frequent(lines, some, ["h1", "h2"], "id"), "line-spread")
+    near = some.where(F.col("sites") <= high)
+    exact = near.where("site is not null").select("h1", "h2", "site", "total").distinct().groupBy("h1", "h2").agg(F.count("*").alias("exact"), F.max("total").alias("n"))
+    near = join_frequent(near, exact.where(F.col("exact") >= min_sites).select("h1", "h2", "n"), ["h1", "h2"], "id")
+    return some.where(F.col("sites") > high).select("id", "th", "pos", "first").union(near.select("id", "th", "pos", "first"))
 
 
 def _cut(docs: DataFrame, min_sites: int, keep_first: bool, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """(row_ struct of the input row, text_ without boilerplate, cut_ array of removed line positions or null)."""
-    flagged = spread_lines(docs, min_sites, id_col, text_col, site_col)
-    hit = join_frequent(_lines(docs, id_col, text_col, site_col), flagged, ["h1", "h2"], "id")
+    hit = spread_lines(docs, min_sites, id_col, text_col, site_col)
     if keep_first:
         hit = hit.where(~((F.col("first.id") == F.col("id")) & (F.col("first.pos") == F.col("pos"))))
     gone = hit.groupBy(F.col("id").alias("id_"), F.col("th").alias("th_")).agg(F.collect_set("pos").alias("cut_"))
-
-    @F.pandas_udf("string")
-    def without(text: pd.Series, cut: pd.Series) -> pd.Series:
-        return pd.Series([t if c is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in s) for t, c, s in zip(text, cut, [() if c is None else set(c) for c in cut], strict=True)], dtype=object)
-
     rows = docs.select(F.struct("*").alias("row_"), F.col(id_col).alias("key_"), F.xxhash64(F.col(text_col)).alias("hash_"), F.col(text_col).cast("string").alias("text_"))
     rows = rows.join(gone, (F.col("key_") == F.col("id_")) & (F.col("hash_") == F.col("th_")), "left")
-    return rows.select("row_", without("text_", "cut_").alias("text_"), "cut_")
+    left = F.array_join(F.filter(F.split("text_", "\n", -1), lambda x, i: ~F.array_contains("cut_", i)), "\n")
+    return rows.select("row_", F.when(F.col("cut_").isNull(), F.col("text_")).otherwise(left).alias("text_"), "cut_")
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
@@ -78,7 +72,11 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = T
 
 
 def line_report(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """Per row of ``docs``: id, n_lines (blank ones too; 0 for a null text), n_removed, kept_sha256 of the text left."""
+    """Per row of ``docs``: id, n_lines (blank ones too; 0 for a null text), n_removed, kept_sha256 of the text left.
+
+    A row with a null id loses nothing; a null text is digested as an empty one. Rows that repeat are told of each; an empty
+    table gives an empty result.
+    """
     out = _cut(docs, min_sites, keep_first, id_col, text_col, site_col)
     text = F.col("row_").getField(text_col)
     return out.select(
