@@ -14,23 +14,27 @@ from pyspark.sql import functions as F
 from .arrow_text import buffers
 
 #: Characters per gram; each character is a code of BITS bits, so a gram is one integer whose prefix and suffix are shifts of it.
-ORDER, BITS = 4, 10
+ORDER, BITS = 4, 14
 #: Grams of the highest order, of all languages, that one pass over the texts holds; more grams take more passes, none is left out.
 MODEL_GRAMS = 1 << 20
 #: The sharpness of a score is one of these, or SHARPNESS if no document tells of it. Of CALIBRATION folds, one is for that.
 GRID, SHARPNESS, CALIBRATION = np.geomspace(0.05, 100, 64), 6.0, 5
+#: A text is rejected if its cross-entropy is above what this share of the calibration texts of that language and length
+#: have; lengths are classed by powers of two. A class of fewer than ENOUGH texts rejects nothing. Histograms have BIN wide bins.
+ACCEPTED, ENOUGH, BIN = 0.995, 20, 0.05
 #: Characters handled at a time.
 CHUNK = 1 << 20
 
 
 def _codes() -> np.ndarray:
-    """Code of each code point: 0 for what is no letter or mark, else 1 to 1023; capitals have that of their small letter."""
+    """Code of each code point: 0 for what is no letter, else its own below 8192, in which most alphabets lie, and one of 8192
+    more beyond; capitals have that of their small letter."""
     out = np.zeros(0x110000, np.int64)
     for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ord(ch.lower()[0])
-            out[c] = low if low < 0x250 else 0x250 + (low * 2654435761 >> 7) % (1023 - 0x250)
+            out[c] = low if low < 8192 else 8192 + (low * 2654435761 >> 7) % 8192
     return out
 
 
@@ -111,6 +115,10 @@ def count_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
         for batch in batches:
             langs = batch.column(0).to_pylist()
+            if len(names) + len(set(langs)) > 1 << 62 - shift:  # a language's number must fit above a gram
+                if held:
+                    yield out()
+                names, held = {}, []
             for i, j, grams, first, _ in _pieces(batch.column(1)):
                 lang = np.array([names.setdefault(x, len(names)) for x in langs[i:j]], np.int64)
                 held.append(np.unique((np.repeat(lang, np.diff(first)) << shift) | grams, return_counts=True))
@@ -305,59 +313,99 @@ def _sharpened(cross: np.ndarray, size: np.ndarray) -> np.ndarray:
     return -cross * np.minimum(np.sqrt(size), 64)
 
 
-def sharpness_of(docs: DataFrame, models: Models, text_col: str = "text", lang_col: str = "lang") -> float:
-    """The sharpness of GRID under which the true languages of ``docs``, which models have not seen, are most likely."""
+def _length_class(size: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(size, 1)).astype(np.int64), 12)
+
+
+@dataclass
+class Calibration:
+    """What is fitted on texts that the models have not seen."""
+
+    sharpness: float
+    bounds: np.ndarray  # (language, length class): cross-entropies above are rejected
+
+
+def calibrate(docs: DataFrame, models: Models, text_col: str = "text", lang_col: str = "lang") -> Calibration:
+    """The sharpness of GRID under which the true languages of ``docs``, which models have not seen, are most likely; and for
+    each language and length class the cross-entropy that ACCEPTED of its texts do not pass. The driver gets a row for each
+    sharpness and each bin of a histogram."""
     names = models.names
 
     def finish(part: pa.RecordBatch, cross: np.ndarray, size: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
         place = {x: i for i, x in enumerate(names)}
         true = np.array([place.get(x, -1) for x in part.column(1).to_pylist()], np.int64)
         ok = (true >= 0) & (letters > 0)
-        z, loss = _sharpened(cross, size)[:, ok], np.zeros(len(GRID))
+        loss = np.zeros(len(GRID))
+        bins, counts = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
         if ok.any():
+            z = _sharpened(cross, size)[:, ok]
             z = z - z[true[ok], np.arange(z.shape[1])]
             top = z.max(0)
             loss = np.array([(g * top + np.log(np.exp(g * (z - top)).sum(0))).sum() for g in GRID])
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(GRID))), pa.array(loss), pa.array(np.full(len(GRID), ok.sum()))], names=["at", "loss", "n"])
+            own = cross[true[ok], np.flatnonzero(ok)]
+            bins, counts = np.unique(np.stack([true[ok], _length_class(size[ok]), (own / BIN).astype(np.int64)], 1), axis=0, return_counts=True)
+        lang = np.concatenate([np.full(len(GRID), -1), bins[:, 0]])
+        at = np.concatenate([np.arange(len(GRID)), bins[:, 2]])
+        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(np.concatenate([np.zeros(len(GRID), np.int64), bins[:, 1]])), pa.array(at), pa.array(np.concatenate([loss, np.zeros(len(bins))])), pa.array(np.concatenate([np.full(len(GRID), ok.sum()), counts]))], names=["lang", "length", "at", "loss", "n"])
 
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    found = _scored(source, models, finish, "at long, loss double, n long").groupBy("at").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect()
-    found = [(r["loss"], r["at"]) for r in found if r["n"]]
-    return float(GRID[min(found)[1]]) if found else SHARPNESS
+    found = _scored(source, models, finish, "lang long, length long, at long, loss double, n long").groupBy("lang", "length", "at").agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).collect()
+    losses = [(r["loss"], r["at"]) for r in found if r["lang"] < 0 and r["n"]]
+    bounds = np.full((len(names), 13), np.inf)
+    bins: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in found:
+        if r["lang"] >= 0:
+            bins.setdefault((r["lang"], r["length"]), []).append((r["at"], r["n"]))
+    for key, histogram in bins.items():
+        histogram.sort()
+        upto = np.cumsum([n for _, n in histogram])
+        if upto[-1] >= ENOUGH:
+            bounds[key] = (histogram[int(np.searchsorted(upto, ACCEPTED * upto[-1]))][0] + 2) * BIN
+    return Calibration(float(GRID[min(losses)[1]]) if losses else SHARPNESS, bounds)
+
+
+def sharpness_of(docs: DataFrame, models: Models, text_col: str = "text", lang_col: str = "lang") -> float:
+    """The sharpness of ``calibrate``."""
+    return calibrate(docs, models, text_col, lang_col).sharpness
 
 
-def predict(docs: DataFrame, models: Models, least: float = 0.0, sharpness: float = SHARPNESS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for each row: the language of the lowest cross-entropy per character of the whole text.
+def predict(docs: DataFrame, models: Models, least: float = 0.0, calibration: Calibration | None = None, reject: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, rejected) for each row: the language of the lowest cross-entropy per character of the whole text.
 
-    score is a softmax of minus the cross-entropies times ``sharpness`` times the root of the number of characters, 64 at
-    most, so that short texts are less sure. A prediction whose score is below ``least`` is rejected: ``und``. So are, with
-    score 0, null texts, texts without a letter, and all texts if there is no model. Ties go to the first name.
+    score is a softmax of minus the cross-entropies times the sharpness times the root of the number of characters, 64 at
+    most, so that short texts are less sure. A prediction is rejected if its score is below ``least`` or its cross-entropy
+    above the calibrated bound of its language and length, as it is in a language that no model knows; with ``reject`` its
+    lang_pred is ``und``. So it is, with score 0, for null texts, texts without a letter, and all texts if there is no model;
+    those are not called rejected. Ties go to the first name.
     """
     names = models.names
+    calibration = calibration or Calibration(SHARPNESS, np.full((len(names), 13), np.inf))
 
     def finish(part: pa.RecordBatch, cross: np.ndarray, size: np.ndarray, letters: np.ndarray) -> pa.RecordBatch:
-        pred, score = np.full(part.num_rows, "und", object), np.zeros(part.num_rows)
+        pred, score, out = np.full(part.num_rows, "und", object), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
         if names:
-            z = _sharpened(cross, size) * sharpness
+            z = _sharpened(cross, size) * calibration.sharpness
             z = np.exp(z - z.max(0))
             z /= z.sum(0)
-            best = np.argmin(cross, axis=0)
-            sure = z[best, np.arange(part.num_rows)]
-            ok = (letters > 0) & (sure >= least)
-            pred[ok] = np.array(names, object)[best[ok]]
-            score[letters > 0] = sure[letters > 0]
-        return pa.RecordBatch.from_arrays([part.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+            best, every = np.argmin(cross, axis=0), np.arange(part.num_rows)
+            sure = z[best, every]
+            some = letters > 0
+            out = some & ((sure < least) | (cross[best, every] > calibration.bounds[best, _length_class(size)]))
+            told = some & ~out if reject else some
+            pred[told] = np.array(names, object)[best[told]]
+            score[some] = sure[some]
+        return pa.RecordBatch.from_arrays([part.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(out)], names=["id", "lang_pred", "score", "rejected"])
 
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id"))
-    return _scored(source, models, finish, "id long, lang_pred string, score double").select(F.col("id").alias(id_col), "lang_pred", "score")
+    return _scored(source, models, finish, "id long, lang_pred string, score double, rejected boolean").select(F.col("id").alias(id_col), "lang_pred", "score", "rejected")
 
 
 def languages(docs: DataFrame, held: Column, model_grams: int = MODEL_GRAMS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: models are fitted on documents outside ``held`` and applied to all.
+    """doc_id, held_out, lang_pred, score, rejected: models are fitted on documents outside ``held`` and applied to all.
 
-    Null ids are in no fold and are not learned from. Rows that repeat are learned and predicted each. One of CALIBRATION
-    folds of the learnable documents is counted apart: models of the others set the score's sharpness on it, and the
-    models that are applied are of all.
+    A rejected document keeps its lang_pred, the least bad of the learned languages. Null ids are in no fold and are not learned from. Rows that repeat are learned and predicted each. One of CALIBRATION
+    folds of the learnable documents is counted apart: models of the others set the score's sharpness and the
+    bounds of rejection on it, and the models that are applied are of all.
     """
     from pyspark.sql.functions import coalesce, lit
 
@@ -367,6 +415,7 @@ def languages(docs: DataFrame, held: Column, model_grams: int = MODEL_GRAMS) ->
     known = docs.where(~held & F.col("doc_id").isNotNull())
     apart = fold(F.col("doc_id"), CALIBRATION) == 0
     rest, part = (stage_table(count_grams(known.where(x)), "lang-grams") for x in (~apart, apart))
-    sharpness = sharpness_of(known.where(apart), models_of(rest, model_grams))
+    calibration = calibrate(known.where(apart), models_of(rest, model_grams))
     both = stage_table(rest.union(part).groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
-    return predict(docs, models_of(both, model_grams), sharpness=sharpness).select("doc_id", coalesce(held, lit(False)).alias("held_out"), "lang_pred", "score")
+    out = predict(docs, models_of(both, model_grams), calibration=calibration, reject=False)
+    return out.select("doc_id", coalesce(held, lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

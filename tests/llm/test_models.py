@@ -174,7 +174,7 @@ def test_no_gram_is_left_out_of_language_models(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     texts = {x: pa.array([t for _, t, y in rows if y == x and t is not None]) for x in "xy"}
     grams = {x: np.unique(np.concatenate([p[2] for p in langid._pieces(t)]), return_counts=True) for x, t in texts.items()}
-    alphabet = len(np.unique(np.concatenate([g & 1023 for g, _ in grams.values()])))
+    alphabet = len(np.unique(np.concatenate([g & (1 << langid.BITS) - 1 for g, _ in grams.values()])))
     plain = [langid.Model(*grams[x], alphabet) for x in "xy"]
     shown = {}
     for i, t, _ in rows:
@@ -201,6 +201,54 @@ def test_sharpness_is_fitted(spark):
     assert langid.sharpness_of(frame, models, lang_col="odd") < 0.3 < 1 < langid.sharpness_of(frame, models)
 
 
+def test_kneser_ney_against_plain_formulas():
+    """Probabilities of interpolated Kneser-Ney, worked out from lists of characters."""
+    from collections import Counter
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcd ") for _ in range(rnd.randrange(1, 60))).strip() or "a" for _ in range(30)]
+    padded = [" " * 3 + re.sub(" +", " ", t) + " " for t in texts]
+    top = Counter(t[i : i + 4] for t in padded for i in range(len(t) - 3))
+    levels = {4: top}
+    for o in (3, 2, 1):
+        levels[o] = Counter(g[1:] for g in levels[o + 1])
+    alphabet = len(levels[1])
+
+    def plain(g):
+        if not g:
+            return 1 / (alphabet + 1)
+        level = levels[len(g)]
+        ones, twos = (sum(n == k for n in level.values()) for k in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        same = [n for x, n in level.items() if x[:-1] == g[:-1]]
+        if not same:
+            return plain(g[1:])
+        return max(level[g] - d, 0) / sum(same) + d * len(same) / sum(same) * plain(g[1:])
+
+    grams = np.concatenate([x[2] for x in langid._pieces(pa.array(texts))])
+    keys, n = np.unique(grams, return_counts=True)
+    code = lambda g: sum((0 if c == " " else ord(c)) << langid.BITS * (len(g) - 1 - i) for i, c in enumerate(g))
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == {code(g): k for g, k in top.items()}
+    model = langid.Model(keys, n, alphabet)
+    asked = ["".join(rnd.choice("abcde ") for _ in range(4)) for _ in range(200)]
+    assert np.allclose(model.logs(np.array([code(g) for g in asked])), [np.log(plain(g)) for g in asked], atol=1e-5)
+
+
+def test_rejection_is_calibrated(spark):
+    """Texts of a language that no model knows are rejected, nearly none of the known ones; other scripts keep apart."""
+    rnd = random.Random(9)
+    make = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 8))) for _ in range(n))
+    known = [(i, make("aeinrst" if i % 2 else "αεικνορ", 40), "xy"[i % 2]) for i in range(400)]
+    odd = [(1000 + i, make("bdfghjklm" if i % 2 else "абвгдежз", 40), "x") for i in range(40)]
+    schema = "doc_id long, text string, lang string"
+    a, b = spark.createDataFrame(known[:200], schema), spark.createDataFrame(known[200:], schema)
+    models = langid.fit(a)
+    calibration = langid.calibrate(b, models)
+    got = {r["doc_id"]: r for r in langid.predict(b.union(spark.createDataFrame(odd, schema)), models, calibration=calibration).collect()}
+    assert sum(got[i]["rejected"] for i, _, _ in known[200:]) <= 4 and all(got[i]["rejected"] and got[i]["lang_pred"] == "und" for i, _, _ in odd)
+    assert all(r["rejected"] or r["lang_pred"] == lang for r, lang in ((got[i], x) for i, _, x in known[200:]))
+
+
 def plain_spans(text):
     rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
 
