@@ -131,7 +131,10 @@ def _degrees(nodes: DataFrame, comps: DataFrame, least: float) -> DataFrame:
             a, b = np.flatnonzero(mine[rows] == i), np.flatnonzero(mine[rows] == j)
             for at in range(0, len(a), 1024):
                 p = a[at : at + 1024]
-                link = (x[p] @ x[b].T >= least) & (label[rows[p]][:, None] == label[rows[b]][None]) & (rep[rows[p]][:, None] != rep[rows[b]][None])
+                cosine = x[p] @ x[b].T
+                for i_, j_ in zip(*np.nonzero(np.abs(cosine - least) < 1e-9), strict=True):  # sums as for the links themselves
+                    cosine[i_, j_] = (x[p[i_]] * x[b[j_]]).sum()
+                link = (cosine >= least) & (label[rows[p]][:, None] == label[rows[b]][None]) & (rep[rows[p]][:, None] != rep[rows[b]][None])
                 n[rows[p]] += link @ m[rows[b]]
                 if i != j:
                     n[rows[b]] += link.T @ m[rows[p]]
