@@ -101,10 +101,68 @@ def test_scores_of_odd_rows(spark, docs, nothing, f, label):
     assert f(docs, labels.where("1 = 0")).where("score = 0.5").count() == docs.count()
 
 
-def test_isotonic():
-    z, p = toxicity.isotonic(np.array([1.0, 2, 3, 4, 5]), np.array([0.0, 1, 0, 1, 1]), np.ones(5))
-    assert p.tolist() == [0, 0.5, 1] or p.tolist() == sorted(p.tolist())
-    assert (np.diff(z) > 0).all()
+def test_isotonic_is_the_best_rising_fit():
+    import itertools
+
+    rnd = random.Random(6)
+    for _ in range(60):
+        n = rnd.randrange(1, 8)
+        z = np.array(rnd.sample(range(100), n), float)
+        y, w = np.array([rnd.randrange(2) for _ in z], float), np.array([rnd.choice([1.0, 2.0, 0.5]) for _ in z])
+        order = np.argsort(z)
+        best = None
+        for cuts in itertools.product([False, True], repeat=n - 1):
+            parts = np.split(order, np.flatnonzero(cuts) + 1)
+            means = [np.average(y[p], weights=w[p]) for p in parts]
+            if all(a < b for a, b in itertools.pairwise(means)):
+                loss = sum((w[p] * (y[p] - m) ** 2).sum() for p, m in zip(parts, means, strict=True))
+                if best is None or loss < best[0] - 1e-12:
+                    best = (loss, [z[p].mean() for p in parts], means)
+        knots, values = toxicity.isotonic(z, y, w)
+        assert np.allclose(knots, best[1]) and np.allclose(values, best[2])
+
+
+def test_boosting_against_a_search_of_all_splits():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 3)).round(1)
+    y = ((x[:, 1] > 0.2) ^ (rng.random(200) < 0.1)).astype(float)
+    weight = rng.choice([0.5, 1.0], 200)
+    model = toxicity.boost(x, y, weight, trees=4, depth=1, rate=0.15, least=8.0)
+    score = np.full(200, model.base)
+    for t in range(4):
+        p = 1 / (1 + np.exp(-score))
+        g, h = (p - y) * weight, p * (1 - p) * weight
+        best = None
+        for f in range(3):
+            for edge in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 65)[1:-1])):
+                left = x[:, f] <= edge
+                if min(left.sum(), (~left).sum()) >= 8:
+                    gain = sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left))
+                    if best is None or gain > best[0] + 1e-9:
+                        best = (gain, f, edge)
+        assert (model.feature[t][0], model.threshold[t][0]) == best[1:]
+        left = x[:, best[1]] <= best[2]
+        for side, leaf in ((left, 0), (~left, 1)):
+            assert np.isclose(model.value[t][leaf], -0.15 * g[side].sum() / (h[side].sum() + 1))
+        score += np.where(left, model.value[t][0], model.value[t][1])
+    plain = [model.base + sum(v[0] if row[f[0]] <= e[0] else v[1] for f, e, v in zip(model.feature, model.threshold, model.value, strict=True)) for row in x]
+    assert np.allclose(model.logits(x), plain) and np.allclose(score, plain)
+
+
+def test_network_against_plain_loops():
+    net = quality.Network(2)
+    net.p["v"] = np.random.default_rng(1).normal(0, 1, 2 * quality.FILTERS).astype(np.float32)
+    texts = [b"", b"a", b"abcd", b"some text " * 37, b"long text of several chunks, " * 120, bytes(range(32, 127)) * 8]
+    plain = []
+    for t in texts:
+        blocks = max(1, -(-len(t) // 4))
+        data = t.ljust(4 * (blocks + 1), b"\0")
+        conv = [np.concatenate([net.p["emb"][c] for c in data[4 * i : 4 * i + 8]]) @ net.p["w"] for i in range(blocks)]
+        tops = [np.max(conv[at : at + quality.HALF], axis=0) if at < blocks else np.full(quality.FILTERS, -1e9) for at in range(0, blocks + 1, quality.HALF)]
+        chunks = [np.maximum(np.maximum(tops[i], tops[min(i + 1, len(tops) - 1)]) + net.p["c"], 0) for i in range(len(tops))]
+        plain.append(float(np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.p["v"] + net.p["b"][0]))
+    got = quality.probabilities(net, pa.array([t.decode() for t in texts]))
+    assert np.allclose(got, 1 / (1 + np.exp(-np.array(plain))), atol=1e-5)
 
 
 def test_network_gradients_are_right():
