@@ -304,6 +304,23 @@ def test_lines(spark, duck, docs, nothing):
     assert lines.line_dedup(nothing).count() == 0 and lines.line_report(nothing).count() == 0
 
 
+def test_joins_with_frequent_keys(spark, monkeypatch):
+    """Keys of many rows are dealt over several tasks; the rows are those of a plain join."""
+    from pyspark.sql import functions as F
+
+    from keyloom.llm import tables
+
+    monkeypatch.setattr(tables, "HOT_ROWS", 7)
+    rows = spark.createDataFrame([(i, "a" if i % 2 else "b" if i % 3 else f"k{i}") for i in range(200)] + [(500, None)], "id long, key string")
+    few = rows.where("key is not null and key <> 'k6'").groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lo"))
+    out = tables.join_frequent(rows, few, ["key"], "id")
+    assert out.columns == ["key", "id", "lo"] and got(out) == got(rows.join(few.drop("n"), "key"))
+    assert "salt_" in out._jdf.queryExecution().analyzed().toString()
+    text = "\n".join(["all rights reserved", "own"])
+    docs = spark.createDataFrame([(i, text.replace("own", f"own {i}"), f"s{i % 12}") for i in range(60)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["text"] for r in lines.line_dedup(docs).collect()} == {i: f"own {i}" if i else text.replace("own", "own 0") for i in range(60)}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(5)
     rows = []
