@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import glob_match
 from .keyspace import CommandError, live
 
+#: SCAN counts its entries by this many leading bits of their hashes.
+STRETCH_BITS = 16
+
 
 def keys(ks: DataFrame, db: int, pattern: str, as_of: int, compat: bool = False, include_expired: bool = False) -> DataFrame:
     """KEYS: (key) that match a glob, in no order. A plain beginning of the pattern reaches the scan as a filter."""
@@ -38,12 +41,27 @@ def scan(ks: DataFrame, db: int, cursor: tuple[int, str] | None, as_of: int, mat
     return page if match is None else page.withColumn("matches", glob_match(F.col("key"), match))
 
 
+def scan_pages(ks: DataFrame, db: int, as_of: int, match: str | None = None, count: int = 10_000, type_: str | None = None) -> DataFrame:
+    """Every page of SCAN by cursors in one plan: (page, cursor, keys), one row for each page from 0 on. ``cursor`` is the last
+    (hash, key) of the page, from which the next one goes on, and ``keys`` are those that match, in the order of SCAN.
+
+    A key's rank is the number of entries in the stretches of hashes before its own and its place inside the stretch, so no
+    page waits for the one before it. Hashes spread evenly: a stretch, sorted in one task, is a 65,536th of the entries.
+    """
+    if count <= 0:
+        raise CommandError("ERR syntax error")
+    rows = scan(ks, db, None, as_of, match, None, type_).withColumn("stretch", F.shiftright("hash", 64 - STRETCH_BITS).cast("int"))
+    sizes = rows.groupBy("stretch").agg(F.count("*").alias("n"))
+    before = sizes.select("stretch", (F.sum("n").over(Window.orderBy("stretch")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("stretch").orderBy("hash", "key")) - 1
+    ranked = rows.withColumn("place", place).join(F.broadcast(before), "stretch")
+    entry = F.struct("hash", "key")
+    found = F.collect_list(entry if match is None else F.when(F.col("matches"), entry))
+    pages = ranked.groupBy(F.floor((F.col("before") + F.col("place")) / count).alias("page")).agg(F.max(entry).alias("cursor"), found.alias("found"))
+    return pages.select("page", "cursor", F.transform(F.array_sort("found"), lambda x: x["key"]).alias("keys"))
+
+
 def scan_all(ks: DataFrame, db: int, as_of: int, match: str | None = None, count: int = 10_000, type_: str | None = None):
-    """Every page of SCAN as a list of keys; what a client does with cursors."""
-    cursor = None
-    while True:
-        rows = scan(ks, db, cursor, as_of, match, count, type_).collect()
-        if not rows:
-            return
-        cursor = (rows[-1]["hash"], rows[-1]["key"])
-        yield [r["key"] for r in rows if match is None or r["matches"]]
+    """Every page of SCAN as a list of keys; what a client reads with cursors."""
+    for r in scan_pages(ks, db, as_of, match, count, type_).orderBy("page").toLocalIterator():
+        yield r["keys"]

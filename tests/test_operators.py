@@ -203,6 +203,28 @@ def test_scan_pages_between_bounds_have_no_cap(spark):
     assert [r["key"] for r in scans.scan(some, 0, None, NOW, count=30, until=cuts[1]).collect()] == [r["key"] for r in h[:21]]
 
 
+def test_all_scan_pages_are_those_of_a_client(spark):
+    keys = [f"k{i}" for i in range(230)] + ["", "é", None]
+    some = keyspace(spark.createDataFrame([(0, k) for k in keys] + [(1, "k1")], "db int, key string"), F.col("db"), F.col("key"), F.lit(b"v"))
+    want, cursor = [], None
+    while page := scans.scan(some, 0, cursor, NOW, match="k*[02468]", count=20).collect():
+        cursor = (page[-1]["hash"], page[-1]["key"])
+        want.append((cursor, [r["key"] for r in page if r["matches"]]))
+    got = scans.scan_pages(some, 0, NOW, match="k*[02468]", count=20).orderBy("page").collect()
+    assert [r["page"] for r in got] == list(range(12)) and [(tuple(r["cursor"]), r["keys"]) for r in got] == want
+    assert scans.scan_pages(some.limit(0), 0, NOW).count() == 0
+
+
+def test_plan_of_a_scan_does_not_grow_with_its_pages(spark, tmp_path):
+    from keyloom.plans.queries import QUERIES
+
+    spark.range(2600).select(F.concat(F.lit("http://a/"), "id").alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
+    done = QUERIES["scan_match_pages"](spark, str(tmp_path))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Union" not in plan
+    assert done.count() == done.distinct().count() == 1300
+
+
 def test_scan_pages_cover_each_key_once(spark):
     some = ks(spark, *[(f"k{i}", b"", 0) for i in range(25)])
     pages = list(scans.scan_all(some, 0, NOW, count=4))
