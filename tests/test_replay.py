@@ -151,6 +151,49 @@ def test_stream_answers_as_the_batch_does(spark, tmp_path):
     assert answers_of(spark.table("answers")) == by_hand(log)[1]
 
 
+def in_order(spark, tmp_path, pieces, **how):
+    """The answers to a stream whose micro-batches are these pieces, and how many rows its state has at the end."""
+    for i, piece in enumerate(pieces):
+        spark.createDataFrame(piece, machine.LOG_SCHEMA).repartition(2).write.mode("append").parquet(f"{tmp_path}/log")
+        stream = spark.readStream.schema(machine.LOG_SCHEMA).parquet(f"{tmp_path}/log")
+        q = replies(stream, **how).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/replies").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return answers_of(spark.read.schema(machine.REPLY_SCHEMA).parquet(f"{tmp_path}/replies")), q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_stream_answers_commands_of_any_time_and_groups_its_keys(spark, tmp_path):
+    log = random_log(300, 11, keys=40)
+    times = [r[1] for r in log]
+    log = [(r[0], times[(i + 200) % 300], *r[2:]) for i, r in enumerate(log)]  # the newest come first
+    log = [(r[0], r[1] + (10**7 if r[0] < 100 else 0), *r[2:]) for r in log]
+    got, held = in_order(spark, tmp_path, [log[:100], log[100:200], log[200:]], late=None, groups=4)
+    assert got == by_hand(log)[1] and held <= 4
+
+
+def test_entries_of_a_stream_go_when_they_have_expired(spark, tmp_path):
+    row = lambda seq, ts, op, key, ttl=None: (seq, ts, 0, op, key, key.encode(), None, ttl, {})
+    log = [[row(0, 1000, "SET", "a", 5000), row(1, 1000, "SET", "b")], [row(2, 100_000, "SET", "c")], [row(3, 200_000, "GET", "a"), row(4, 200_000, "GET", "b")]]
+    got, held = in_order(spark, tmp_path, log[:2], late="1 second", groups=1000)
+    assert held == 2 and len(got) == 3
+    got, held = in_order(spark, tmp_path, log[2:], late="1 second", groups=1000)
+    assert held == 2 and got[3][0] is None and got[4][0] == b"b"
+
+
+def test_streaming_query_answers_every_command(spark, tmp_path):
+    """A log whose times begin anew half way: the rows of the SQL, and none of them left out as late."""
+    import duckdb
+    from helpers import SF_DIR, rows
+
+    from keyloom.plans.queries import ORACLE_SQL, QUERIES
+
+    c = duckdb.connect()
+    c.sql(f"copy (select event_id + 100 * i as event_id, ts, user_id, event_type, value, props from (select * from '{SF_DIR}/events.parquet' where event_id < 100), range(2) t(i)) to '{tmp_path}/events.parquet'")
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    want = c.sql(ORACLE_SQL["streaming_replay"]).df()
+    got = QUERIES["streaming_replay"](spark, str(tmp_path)).toPandas()
+    assert len(want) == 200 and rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))
+
+
 def test_rates_of_a_stream(spark):
     log = spark.createDataFrame([(0, "SET", b"abc", 10), (0, "SET", b"d", 20), (0, "GET", None, 30)], "db int, op string, arg binary, s long").withColumn("ts", F.timestamp_seconds("s"))
     assert {(r["op"], r["commands"], r["bytes"]) for r in command_rates(log).collect()} == {("SET", 2, 4), ("GET", 1, 0)}
