@@ -9,7 +9,7 @@ from ..functions.values import glob_match
 from .keyspace import CommandError, live
 
 #: SCAN counts its entries by this many leading bits of their hashes.
-STRETCH_BITS = 16
+STRETCH_BITS = 12
 
 
 def keys(ks: DataFrame, db: int, pattern: str, as_of: int, compat: bool = False, include_expired: bool = False) -> DataFrame:
@@ -46,7 +46,8 @@ def scan_pages(ks: DataFrame, db: int, as_of: int, match: str | None = None, cou
     (hash, key) of the page, from which the next one goes on, and ``keys`` are those that match, in the order of SCAN.
 
     A key's rank is the number of entries in the stretches of hashes before its own and its place inside the stretch, so no
-    page waits for the one before it. Hashes spread evenly: a stretch, sorted in one task, is a 65,536th of the entries.
+    page waits for the one before it. Hashes spread evenly: a stretch, sorted in one task, is a 4,096th of the entries,
+    and the sum over stretches, which one task makes, has 4,096 rows at most.
     """
     if count <= 0:
         raise CommandError("ERR syntax error")
